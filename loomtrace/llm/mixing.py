@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import cut, fits_broadcast, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Steps of the rounding remainder for the last correction.
-LEVELS = 1024
+#: Steps of the rounding remainder, and how often the remaining error is corrected.
+LEVELS, CORRECTIONS = 1024, 3
 
 
 def word_count(text: str) -> Column:
@@ -105,23 +105,26 @@ def plan(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", tex
     raw = F.when(F.col("size") > 0, _rate(most)).otherwise(0.0) + F.when(F.col("size") > 0, u).otherwise(0.0)
     base = F.least(F.floor(raw), F.lit(most)).cast("bigint")
     grade = F.least(F.floor((raw - F.floor(raw)) * LEVELS), F.lit(LEVELS - 1)).cast("int")
-    rounded = sized.join(hint(tilt), F.col("source").eqNullSafe(F.col("key"))).withColumn("base", base).withColumn("grade", grade)
-    masses = rounded.groupBy("rank", "grade").agg(F.sum(F.when(F.col("base") < most, F.col("size"))).alias("up"), F.sum(F.when(F.col("base") > 0, F.col("size"))).alias("down"), F.sum(F.col("base") * F.col("size")).alias("has"))
+    copies = base
     w = Window.partitionBy("rank")  # LEVELS rows at most
-    error = masses.withColumn("error", F.first("target").over(w) - F.sum("has").over(w)) if "target" in masses.columns else masses.join(hint(tilt.select("rank", "target")), "rank").withColumn("error", F.col("target") - F.sum("has").over(w))
-    from_top = F.coalesce(F.sum("up").over(w.orderBy(F.desc("grade"))), F.lit(0))
-    from_low = F.coalesce(F.sum("down").over(w.orderBy("grade")), F.lit(0))
-    gap = error.withColumn("raise", F.abs(F.col("error") - from_top)).withColumn("lower", F.abs(F.col("error") + from_low))
-    cuts = cut(gap.groupBy("rank").agg(F.first("error").alias("error"), F.min(F.struct("raise", -F.col("grade"))).alias("r"), F.min(F.struct("lower", "grade")).alias("l")).select(
-        "rank",
-        F.when((F.col("error") > 0) & (F.col("r.raise") < F.col("error")), -F.col("r.col2")).otherwise(LEVELS).alias("raise_from"),
-        F.when((F.col("error") < 0) & (F.col("l.lower") < -F.col("error")), F.col("l.grade")).otherwise(-1).alias("lower_to")))
-    tilt = cut(tilt.join(hint(cuts), "rank", "left"))
+    for k in range(CORRECTIONS):
+        # what a source lacks or has too much goes to or from documents no larger, each changed once, by threshold
+        now = sized.join(hint(tilt), F.col("source").eqNullSafe(F.col("key"))).select("rank", "size", "target", base.alias("base"), copies.alias("copies"), grade.alias("grade"))
+        error = now.groupBy("rank").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("error"))
+        tilt = cut(tilt.join(hint(error), "rank", "left").withColumnRenamed("error", f"error{k}"))
+        lack = F.col(f"error{k}")
+        free = (F.col("size") > 0) & (F.col("size") <= F.abs(lack)) & (copies == base) & F.when(lack > 0, base < most).otherwise(base > 0)
+        now = sized.join(hint(tilt), F.col("source").eqNullSafe(F.col("key"))).where(free)
+        mass = now.groupBy("rank", F.when(lack > 0, -grade).otherwise(grade).alias("step")).agg(F.first(lack).alias("error"), F.sum("size").alias("mass"))
+        gap = mass.withColumn("gap", F.abs(F.abs("error") - F.sum("mass").over(w.orderBy("step"))))
+        best = gap.groupBy("rank").agg(F.min(F.struct("gap", "step")).alias("b"), F.first(F.abs("error")).alias("e")).where(F.col("b.gap") < F.col("e")).select("rank", F.col("b.step").alias(f"to{k}"))
+        tilt = cut(tilt.join(hint(best), "rank", "left"))
+        moved = free & (F.when(lack > 0, -grade).otherwise(grade) <= F.col(f"to{k}"))
+        copies = copies + F.when(moved & (lack > 0), 1).when(moved, -1).otherwise(0)
 
     name = free_name(docs, "mix")
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), (F.col("size") if text not in docs.columns else word_count(text)).alias("size"))
     joined = inner.join(hint(tilt), F.col("source").eqNullSafe(F.col("key")))
-    copies = base + F.when((F.col("size") > 0) & (base < most) & (grade >= F.col("raise_from")), 1).when((base > 0) & (grade <= F.col("lower_to")), -1).otherwise(0)
     rate = F.when(F.col("size") > 0, _rate(most)).otherwise(0.0)
     mixed = F.struct("size", "source_size", "target", rate.alias("rate"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
     return joined.select("row.*", mixed.alias(name)), name

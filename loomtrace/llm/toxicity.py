@@ -1,9 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Two interpolated Kneser-Ney bigram models, of toxic and of ordinary text, end in one shared distribution: the
-continuation counts of both classes together.  A rare expression thus weighs nothing until a class has seen it.  A
-text's evidence is its length-normalised log-likelihood ratio, over the whole text and over its most toxic run of
-words; a logistic function fitted on texts that the models did not see turns both into a score.
+Two interpolated Kneser-Ney models, of toxic and of ordinary text, predict each word from the one before it and back
+off to the word alone, to its first six and its first four bytes (so that inflected forms share evidence), and at last
+to one shared distribution, the counts of both classes together.  A rare expression thus weighs nothing until a class
+has seen it in several contexts.  A text's evidence is its length-normalised log-likelihood ratio, over the whole text
+and over its most toxic words; a logistic function fitted on texts that the models did not see turns both into
+a score.
 """
 
 from __future__ import annotations
@@ -13,10 +15,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, GOLDEN, MIX_A, U64, free_name, maybe_broadcast, mix, text_chunks, with_text_struct, words
+from .common import ALNUM, GOLDEN, MIX_A, MIX_B, U64, cut, free_name, hash_spans, maybe_broadcast, mix, text_chunks, with_text_struct, words
 
 START = U64(1)
-DISCOUNT, RUN = 0.75, 12
+#: Bytes of the prefixes that words back off to.
+PREFIXES = (6, 4)
+#: Words that are looked at besides the whole text, the most toxic ones; parts of the sample for calibration.
+TOP, FOLDS = 2, 4
+#: Absolute discounts of words and pairs.  Both count by the different words before them, so that copies of a text add
+#: nothing; an expression with no more contexts in a class counts only through the shared distribution.
+WORD_DISCOUNT, PAIR_DISCOUNT = 4, 8
+#: Most that one word weighs, so that a memorised copy doesn't outweigh everything else.
+MOST = 8.0
+
+
+def units(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """Each word's unit at every level: itself, then its prefixes."""
+    return [h, *(hash_spans(low, starts, np.minimum(ends, starts + n)) for n in PREFIXES)]
+
+
+def discounts(count: np.ndarray, most: int) -> np.ndarray:
+    """What each count gives to the shared distribution: ``most``, or all of a smaller count."""
+    return np.minimum(count, most).astype(float)
 
 
 def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,99 +51,132 @@ def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class ClassModels:
     def __init__(self, texts: list[pa.Array]):
         """``texts``: ordinary and toxic ones."""
-        self.vocabulary = np.zeros(0, np.uint64)
         seen = []
         for some in texts:
-            us, vs, ps = [], [], []
-            for _, data, offsets in text_chunks(some):
-                _, _, _, h, first = words(data, offsets, ALNUM)
+            columns: list[list[np.ndarray]] = [[] for _ in range(3 + 1 + len(PREFIXES))]
+            for _, data, offsets in text_chunks(some.unique()):
+                low, starts, ends, h, first = words(data, offsets, ALNUM)
                 u, p = _pairs(h, first)
-                us.append(u)
-                vs.append(h)
-                ps.append(p)
-            u, v, p = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (us, vs, ps))
-            p, at, count = np.unique(p, return_index=True, return_counts=True)
-            seen.append((p, u[at], v[at], count))
-        # shared backoff: in how many contexts of either class a word stands
-        pairs = np.concatenate([s[0] for s in seen])
-        pairs, at = np.unique(pairs, return_index=True)
-        u, v = np.concatenate([s[1] for s in seen])[at], np.concatenate([s[2] for s in seen])[at]
-        vocabulary = np.unique(np.concatenate([u, v]))
-        index = lambda x: np.searchsorted(vocabulary, x)
-        contexts = np.bincount(index(v), minlength=len(vocabulary)).astype(float)
-        total = max(1.0, contexts.sum())
-        kinds = (contexts > 0).sum()
-        shared = np.maximum(contexts - DISCOUNT, 0) / total + DISCOUNT * kinds / total / (len(vocabulary) + 1)
-        lower, leave, high = [], [], []
-        for p, u_c, v_c, count in seen:
-            iu, iv = index(u_c), index(v_c)
-            after = np.bincount(iv, minlength=len(vocabulary)).astype(float)
-            n = max(1.0, after.sum())
-            p_v = np.maximum(after - DISCOUNT, 0) / n + DISCOUNT * (after > 0).sum() / n * shared if len(p) else shared
-            tokens = np.bincount(iu, weights=count, minlength=len(vocabulary))
-            follow = np.bincount(iu, minlength=len(vocabulary))
-            gamma = np.where(tokens > 0, DISCOUNT * follow / np.maximum(tokens, 1), 1.0)
-            lower.append(np.log(p_v))
-            leave.append(np.log(gamma))
-            high.append((p, count, tokens, gamma, p_v))
-        ratios = np.zeros(len(pairs))
-        for sign, (p, count, tokens, gamma, p_v) in zip((-1, 1), high, strict=True):
-            iu, iv = index(u), index(v)
+                before = np.empty_like(p)
+                before[1:] = p[:-1]
+                before[first[:-1][np.diff(first) > 0]] = START
+                for column, x in zip(columns, (mix(before * MIX_B + h), p, u, *units(low, starts, ends, h)), strict=True):
+                    column.append(x)
+            seen.append([np.concatenate(c) if c else np.zeros(0, np.uint64) for c in columns])
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        sides = []
+        for t, p, u, *unit in seen:
+            once = np.unique(t, return_index=True)[1]  # what follows the same two words counts once
+            p, at, count = np.unique(p[once], return_index=True, return_counts=True)
+            at = once[at]
+            sides.append((p, count, u[at], [x[at] for x in unit]))
+        # from the shortest prefix up: probabilities of each class, and what both classes together say of a unit given its parent
+        below: tuple | None = None
+        for level in range(len(PREFIXES), -1, -1):
+            found = [np.unique(s[3][level], return_counts=True) for s in sides]
+            ids, at = np.unique(np.concatenate([s[3][level] for s in sides]), return_index=True)
+            counts = np.zeros((2, len(ids)))
+            for c, (x, n) in enumerate(found):
+                counts[c, np.searchsorted(ids, x)] = n
+            both, total = counts.sum(axis=0), np.maximum(counts.sum(axis=1, keepdims=True), 1)
+            off = discounts(counts, WORD_DISCOUNT)
+            leave = off.sum(axis=1, keepdims=True) / total
+            leave[leave == 0] = 1
+            if below is None:
+                base = np.broadcast_to(both / max(1.0, both.sum()), counts.shape)
+            else:
+                parent = np.searchsorted(below[0], np.concatenate([s[3][level + 1] for s in sides])[at])
+                base = below[1][:, parent] * both / below[2][parent]
+            probability = (counts - off) / total + leave * base
+            self.levels.insert(0, (ids, np.log(probability[1] / probability[0]).astype(np.float32)))
+            below = (ids, probability, both)
+        ids, probability = below[0], below[1]
+        pairs, at = np.unique(np.concatenate([s[0] for s in sides]), return_index=True)
+        u, v = (np.concatenate(x)[at] for x in ([s[2] for s in sides], [s[3][0] for s in sides]))
+        contexts = np.unique(u)
+        iu, iv = np.searchsorted(contexts, u), np.searchsorted(ids, v)
+        ratio, leave = np.zeros(len(pairs)), []
+        for sign, (p, count, u_c, _), p_v in zip((-1, 1), sides, probability, strict=True):
+            k = np.searchsorted(contexts, u_c)
+            off = discounts(count, PAIR_DISCOUNT)
+            tokens = np.bincount(k, weights=count, minlength=len(contexts))
+            gamma = np.where(tokens > 0, np.bincount(k, weights=off, minlength=len(contexts)) / np.maximum(tokens, 1), 1.0)
             own = np.zeros(len(pairs))
-            own[np.searchsorted(pairs, p)] = count
-            ratios += sign * np.log(np.maximum(own - DISCOUNT, 0) / np.maximum(tokens[iu], 1) + gamma[iu] * p_v[iv])
-        self.vocabulary, self.pairs = vocabulary, pairs
-        self.word_ratio = (lower[1] - lower[0]).astype(np.float32)
-        self.leave_ratio = (leave[1] - leave[0]).astype(np.float32)
-        self.pair_ratio = ratios.astype(np.float32)
+            own[np.searchsorted(pairs, p)] = count - off
+            ratio += sign * np.log(own / np.maximum(tokens[iu], 1) + gamma[iu] * p_v[iv])
+            leave.append(np.log(gamma))
+        self.contexts, self.leave_ratio = contexts, (leave[1] - leave[0]).astype(np.float32)
+        # pairs for which the models say no more than for the word alone need no entry
+        alone = self.levels[0][1][iv] + self.leave_ratio[iu]
+        keep = np.abs(ratio - alone) > 1e-4
+        self.pairs, self.pair_ratio = pairs[keep], np.clip(ratio[keep], -MOST, MOST).astype(np.float32)
         self.weights = np.array([0.0, 0.0, 0.0])
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
-        """Per text: mean log-likelihood ratio of its words, and that of its most toxic run of RUN words."""
+        """Per text: mean log-likelihood ratio of its words, and that of its TOP most toxic distinct words."""
         out = np.zeros((len(texts), 2))
-        if not len(self.vocabulary):
-            return out
         for begin, data, offsets in text_chunks(texts):
-            _, _, _, h, first = words(data, offsets, ALNUM)
+            low, starts, ends, h, first = words(data, offsets, ALNUM)
             if not len(h):
                 continue
             u, p = _pairs(h, first)
-            # words of a shard repeat: look each up once
-            distinct, inverse = np.unique(h, return_inverse=True)
-            at = np.minimum(np.searchsorted(self.vocabulary, distinct), len(self.vocabulary) - 1)
-            known = self.vocabulary[at] == distinct
-            word = np.where(known, self.word_ratio[at], 0)[inverse]
-            leave = np.where(known, self.leave_ratio[at], 0)[inverse]
-            ratio = word
-            ratio[1:] += leave[:-1]
-            begins = first[:-1][np.diff(first) > 0]
-            start = np.searchsorted(self.vocabulary, START)
-            start_leave = self.leave_ratio[start] if start < len(self.vocabulary) and self.vocabulary[start] == START else 0
-            ratio[begins] = np.where(known, self.word_ratio[at], 0)[inverse[begins]] + start_leave
-            at = np.minimum(np.searchsorted(self.pairs, p), len(self.pairs) - 1)
-            ratio = np.where(self.pairs[at] == p, self.pair_ratio[at], ratio)
+            # words of a shard repeat: each is looked up once, at the longest level that knows it
+            distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+            word = np.zeros(len(distinct), np.float32)
+            open_ = np.arange(len(distinct))
+            for (ids, ratios), unit in zip(self.levels, units(low, starts[at], ends[at], distinct), strict=True):
+                if len(ids) and len(open_):
+                    k = np.minimum(np.searchsorted(ids, unit[open_]), len(ids) - 1)
+                    known = ids[k] == unit[open_]
+                    word[open_[known]] = ratios[k[known]]
+                    open_ = open_[~known]
+            ratio = np.clip(word, -MOST, MOST)[inverse]
+            if len(self.contexts):
+                distinct = np.append(distinct, START)
+                k = np.minimum(np.searchsorted(self.contexts, distinct), len(self.contexts) - 1)
+                leave = np.where(self.contexts[k] == distinct, self.leave_ratio[k], 0)
+                before = np.concatenate([[len(distinct) - 1], inverse[:-1]])
+                before[first[:-1][np.diff(first) > 0]] = len(distinct) - 1
+                ratio = ratio + leave[before]
+            if len(self.pairs):
+                k = np.minimum(np.searchsorted(self.pairs, p), len(self.pairs) - 1)
+                ratio = np.where(self.pairs[k] == p, self.pair_ratio[k], ratio)
             total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
             n = np.diff(first)
             full = np.flatnonzero(n > 0)
             out[begin + full, 0] = (total[first[1:]] - total[first[:-1]])[full] / n[full]
-            # the best run: whole runs inside a text, or the text if it is shorter (still over RUN words)
-            end = np.minimum(np.arange(len(h)) + RUN, np.repeat(first[1:], n))
-            run = (total[end] - total[:-1]) / RUN
-            short = end - np.arange(len(h)) < RUN
-            run[short & (np.arange(len(h)) > np.repeat(first[:-1], n))] = -np.inf
-            out[begin + full, 1] = np.maximum.reduceat(run, first[:-1][full])
+            # the most toxic words: the strongest of each text's distinct words
+            strong = np.flatnonzero(ratio > 0.5)
+            text = np.repeat(np.arange(len(n)), n)[strong]
+            by = strong[np.lexsort((h[strong], -ratio[strong], text))]
+            text = np.repeat(np.arange(len(n)), n)[by]
+            new = np.ones(len(by), bool)
+            new[1:] = (h[by][1:] != h[by][:-1]) | (text[1:] != text[:-1])
+            by, text = by[new], text[new]
+            rank = np.arange(len(by)) - np.searchsorted(text, text)
+            top = rank < TOP
+            np.add.at(out, (begin + text[top], 1), ratio[by[top]] / TOP)
         return out
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression by Newton steps, with a small ridge."""
+        """Logistic regression with a ridge, by Newton steps that are halved until they help."""
         z = np.column_stack([np.ones(len(x)), x])
+        ridge = np.array([1e-3, 1.0, 1.0])
+
+        def loss(w: np.ndarray) -> float:
+            m = z @ w
+            return float(np.logaddexp(0, m).sum() - y @ m + (ridge * w * w).sum() / 2)
+
         w = np.zeros(3)
-        for _ in range(30):
+        for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            g = z.T @ (p - y) + 1e-2 * np.array([0, 1, 1]) * w
-            hess = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.diag([1e-6, 1, 1]) + 1e-9 * np.eye(3)
-            step = np.linalg.solve(hess, g)
-            w -= np.clip(step, -5, 5)
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
+            size = 1.0
+            while size > 1e-4 and loss(w - size * step) > loss(w):
+                size /= 2
+            w = w - size * step
+            if np.abs(size * step).max() < 1e-6:
+                break
         self.weights = w
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -135,26 +188,31 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     """Models from labelled documents, or None if a class has none.
 
     Fitted on a bounded sample: of each class about ``sample_chars`` characters, or as many as the smaller class has,
-    in whole texts chosen by a hash of the id; a quarter of these only calibrates the score.  Conflicting labels of
-    one document count as toxic; null labels and ids are left out.
+    in whole texts chosen by a hash of the id.  The score is calibrated on evidence that models of the other parts of
+    the sample give for each part.  Conflicting labels of one document count as toxic; null labels and ids are left
+    out.
     """
     marks = labels.select(F.col(doc_id).alias("k"), F.col(toxic).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").groupBy("k").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).where("length(t) > 0").join(marks, "k")
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.sum(F.length("t").cast("bigint")).alias("n")).collect()}
+    rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).where("length(t) > 0").join(maybe_broadcast(cut(marks), 24), "k")
+    sizes = {r.y: (r.n, r.docs) for r in rows.groupBy("y").agg(F.sum(F.length("t").cast("bigint")).alias("n"), F.count("*").alias("docs")).collect()}
     if len(sizes) < 2:
         return None
-    most = min(sample_chars, *sizes.values())
-    rates = F.when(F.col("y") == 1, most / sizes[1]).otherwise(most / sizes[0]) * 1e6
-    sample = rows.where(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1_000_000)) < rates).select("y", "t", F.pmod(F.xxhash64("k", F.lit(9)), F.lit(4)).alias("part")).collect()
+    most = min(sample_chars, *(n for n, _ in sizes.values()))
+    rates = F.when(F.col("y") == 1, most / sizes[1][0]).otherwise(most / sizes[0][0]) * 1e6
+    sample = rows.where(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1_000_000)) < rates).select("y", "t", F.pmod(F.xxhash64("k", F.lit(9)), F.lit(FOLDS)).alias("part")).collect()
     sample = sorted((r.y, r.part, r.t) for r in sample)
     pick = lambda y, keep: pa.array([t for c, p, t in sample if c == y and keep(p)], pa.string())
-    models = ClassModels([pick(y, lambda p: p != 0) for y in (0, 1)])
-    held = [pick(y, lambda p: p == 0) for y in (0, 1)]
-    if not all(map(len, held)):
-        held = [pick(y, lambda p: True) for y in (0, 1)]
-    models.calibrate(np.concatenate([models.evidence(x) for x in held]), np.repeat([0.0, 1.0], [len(x) for x in held]))
-    # the sample holds the classes in equal shares; the corpus doesn't
-    models.weights[0] += np.log(sizes[1] / sizes[0]) / 2
+    x, y = [], []
+    for part in range(FOLDS):
+        others = ClassModels([pick(c, lambda p, part=part: p != part) for c in (0, 1)])
+        for c in (0, 1):
+            x.append(others.evidence(pick(c, lambda p, part=part: p == part)))
+            y += [float(c)] * len(x[-1])
+    models = ClassModels([pick(c, lambda p: True) for c in (0, 1)])
+    models.calibrate(np.concatenate(x), np.array(y))
+    # the sample holds the classes in other shares than the corpus
+    share = max(sum(y), 1) / max(len(y) - sum(y), 1)
+    models.weights[0] += np.log(sizes[1][1] / sizes[0][1]) - np.log(share)
     return models
 
 

@@ -1,9 +1,10 @@
 """Near-duplicate join on word shingles: signature trees with a dual traversal.
 
 1. Every document becomes the set of its shingles' hashes.  Documents with equal sets are one vertex from here on,
-   so copies cost nothing.  A prefix of each set (its smallest hashes, long enough that two sets of the asked
-   similarity share one) is packed into blobs and dealt out by hash; a key that several vertices share makes a list.
-2. The vertices in lists get a token bitmap.  Each task builds signature trees over its lists, whose nodes hold the
+   so copies cost nothing.  A prefix of each set (its smallest hashes, half as many again as two similar sets may
+   differ in) is packed into blobs and dealt out by hash; a key that several vertices of fitting size share makes a
+   list.  A vertex that shares fewer keys than similar sets must is out: a shared passage is not enough.
+2. The vertices left in lists get a token bitmap.  Each task builds signature trees over its lists, whose nodes hold the
    OR of the bitmaps below and the range of set sizes, and walks pairs of nodes, dropping a pair when the sizes are
    incompatible or the largest possible overlap is too small.  What is left joins vertices into clusters.
 3. Clusters, split by size band and salt where large, get the sets themselves; the same walk, now with an exact
@@ -65,13 +66,19 @@ class Similarity:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
 
-    def probe(self, n):
-        """Smallest hashes of a set of n that are matched with those of sets no larger."""
-        return n + 1 + (-self.num * n) // self.den
+    def spare(self, n):
+        """Elements of a set of n that a similar set may lack at most."""
+        return n + (-self.num * n) // self.den
 
-    def index(self, n):
-        """Smallest hashes of a set of n that sets at least as large are matched with."""
-        return n + 1 + (-2 * self.num * n) // (self.num + self.den)
+    def prefix(self, n):
+        """How many smallest hashes of a set of n are compared."""
+        return 3 * self.spare(n) // 2 + 1
+
+    def least_shared(self, n):
+        """How many of these a similar set shares at least.  Of two similar sets, all that the prefix which ends first
+        shares with the other set is in the other's prefix; the smaller set of the two may be num/den of n."""
+        small = -((-self.num * n) // self.den)
+        return self.prefix(small) - self.spare(small)
 
     def overlap(self, a, b):
         """Least overlap of sets of a and b."""
@@ -86,8 +93,19 @@ class Similarity:
 
 
 # --------------------------------------------------------------------------- step 1
+def _sizes(k: int):
+    """Per document: its set's size and id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(len(s), set_id(s) if len(s) else None) for s in shingle_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([v for _, v in sets], pa.int64())], ["doc_id", "n", "v"])
+
+    return run
+
+
 def _sketch(k: int, sim: Similarity, buckets: int):
-    """Per document (row): its set's size and id.  Per bucket (blob): keys, their vertices, and the vertices' sizes."""
+    """Per bucket: a blob of prefix keys, their vertices, and the vertices' sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -105,25 +123,19 @@ def _sketch(k: int, sim: Similarity, buckets: int):
             ids, n = np.array(list(seen), np.int64), np.array(sizes, np.int64)
             blobs = []
             for a, b in zip(at, [*at[1:], len(key)], strict=True):
-                used, inverse = np.unique(own[a:b] >> 1, return_inverse=True)
-                flags = (own[a:b] & 1).astype(np.uint32)
-                blobs.append(np.array([b - a, len(used)], np.int64).tobytes() + key[a:b].tobytes() + ids[used].tobytes() + n[used].tobytes() + (inverse.astype(np.uint32) * 2 + flags).tobytes())
-            return _rows(bucket=bucket[at], blob=blobs)
+                used, inverse = np.unique(own[a:b], return_inverse=True)
+                blobs.append(np.array([b - a, len(used)], np.int64).tobytes() + key[a:b].tobytes() + ids[used].tobytes() + n[used].tobytes() + inverse.astype(np.uint32).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
-            doc_n, doc_v = [], []
-            for s in shingle_sets(batch.column(1), k):
+            for s in shingle_sets(batch.column(0), k):
                 n, v = len(s), set_id(s)
-                doc_n.append(n)
-                doc_v.append(v if n else None)
                 if n and v not in seen:
                     seen[v] = len(sizes)
                     sizes.append(n)
-                    p = s[: sim.probe(n)]
-                    keys.append(p)
-                    owners.append(np.full(len(p), 2 * seen[v], np.int64) + (np.arange(len(p)) < sim.index(n)))
-                    held += len(p)
-            yield _rows(doc_id=batch.column(0), n=doc_n, v=doc_v)
+                    keys.append(s[: sim.prefix(n)])
+                    owners.append(np.full(len(keys[-1]), seen[v], np.int64))
+                    held += len(keys[-1])
             if held >= FLUSH_KEYS:
                 yield flush()
                 keys, owners, seen, sizes, held = [], [], {}, [], 0
@@ -133,20 +145,21 @@ def _sketch(k: int, sim: Similarity, buckets: int):
     return run
 
 
-ROWS = "doc_id bigint, n bigint, v bigint, bucket bigint, blob binary"
-_TYPES = {"doc_id": pa.int64(), "n": pa.int64(), "v": pa.int64(), "bucket": pa.int64(), "blob": pa.binary()}
+LISTS = "part bigint, v bigint, n bigint, keys bigint, need bigint, blob binary"
 
 
-def _rows(**cols) -> pa.RecordBatch:
-    size = len(next(iter(cols.values())))
-    return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols and not isinstance(cols[c], pa.Array) else cols[c].cast(t) if c in cols else pa.nulls(size, t) for c, t in _TYPES.items()], list(_TYPES))
+def _list_rows(part: int, v=None, n=None, keys=None, need=None, blob=None) -> pa.RecordBatch:
+    size = len(v if v is not None else blob)
+    column = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x, t)
+    return pa.RecordBatch.from_arrays([pa.array([part] * size, pa.int64()), column(v, pa.int64()), column(n, pa.int64()), column(keys, pa.int64()), column(need, pa.int64()), column(blob, pa.binary())], ["part", "v", "n", "keys", "need", "blob"])
 
 
 def _lists(sim: Similarity):
-    """Of a task's keys, those that several fitting vertices share; equal lists count once."""
+    """Of a task's keys, those that several vertices of fitting size share: per vertex how many, and the lists, equal
+    ones once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, v, n, flag = [], [], [], []
+        key, v, n = [], [], []
         for batch in batches:
             for blob in batch.column(1).to_pylist():
                 m, u = np.frombuffer(blob, np.int64, 2)
@@ -154,23 +167,22 @@ def _lists(sim: Similarity):
                 ids, sizes = np.frombuffer(blob, np.int64, u, 16 + 8 * m), np.frombuffer(blob, np.int64, u, 16 + 8 * (m + u))
                 own = np.frombuffer(blob, np.uint32, m, 16 + 8 * (m + 2 * u))
                 key.append(k)
-                v.append(ids[own >> 1])
-                n.append(sizes[own >> 1].astype(np.int32))
-                flag.append((own & 1).astype(bool))
+                v.append(ids[own])
+                n.append(sizes[own].astype(np.int32))
         if not key:
             return
-        key, v, n, flag = map(np.concatenate, (key, v, n, flag))
+        key, v, n = map(np.concatenate, (key, v, n))
         # only keys that occur twice are of use
         by = np.argsort(key, kind="stable")
         same = key[by][1:] == key[by][:-1]
         use = np.zeros(len(key), bool)
         use[by[1:]] |= same
         use[by[:-1]] |= same
-        key, v, n, flag = key[use], v[use], n[use], flag[use]
+        key, v, n = key[use], v[use], n[use]
         by = np.lexsort((v, n, key))
-        key, v, n, flag = key[by], v[by], n[by], flag[by]
+        key, v, n = key[by], v[by], n[by]
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (v[1:] != v[:-1])]) if len(key) else np.zeros(0, bool)
-        key, v, n, flag = key[fresh], v[fresh], n[fresh], flag[fresh]
+        key, v, n = key[fresh], v[fresh], n[fresh]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(key))
         seen: set[int] = set()
@@ -178,30 +190,31 @@ def _lists(sim: Similarity):
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             if b - a < 2:
                 continue
-            # sizes ascend: a vertex stays if a neighbour in size fits it, and some smaller one is indexed
+            # sizes ascend: a vertex stays if a neighbour in size fits it
             near = sim.fits(n[a : b - 1].astype(np.int64), n[a + 1 : b].astype(np.int64))
             keep = np.zeros(b - a, bool)
             keep[1:] |= near
             keep[:-1] |= near
-            if not keep.any() or not (flag[a:b] & keep).any():
+            if not keep.any():
                 continue
             ids = v[a:b][keep]
+            out_v.append(ids)
+            out_n.append(n[a:b][keep])
             if (sign := hash(ids.tobytes())) in seen:
                 continue
             seen.add(sign)
             blobs.append(ids.tobytes())
-            out_v.append(ids)
-            out_n.append(n[a:b][keep])
         if not blobs:
             return
-        ids, first = np.unique(np.concatenate(out_v), return_index=True)
+        ids, first, count = np.unique(np.concatenate(out_v), return_index=True, return_counts=True)
         sizes = np.concatenate(out_n)[first]
-        part = key[0] % U64(1 << 62)  # any number that no other task has: a key of this task
-        yield _rows(bucket=np.full(len(ids), part, np.int64), v=ids, n=sizes.astype(np.int64))
+        part = int(key[0] % U64(1 << 62))  # any number that no other task has: a key of this task
+        sizes = sizes.astype(np.int64)
+        yield _list_rows(part, v=ids, n=sizes, keys=count, need=sim.least_shared(sizes))
         for i in range(0, len(blobs), 4096):
             some = blobs[i : i + 4096]
             packed = np.array([len(some), *(len(x) // 8 for x in some)], np.int64).tobytes() + b"".join(some)
-            yield _rows(bucket=[int(part)], blob=[packed])
+            yield _list_rows(part, blob=[packed])
 
     return run
 
@@ -429,14 +442,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    first = cut(small_batches(base).mapInArrow(_sketch(k, sim, 4 * parts), ROWS))
-    per_doc = first.where("bucket is null").select("doc_id", "n", "v")
-    blobs = first.where("bucket is not null").select("bucket", "blob")
-    lists = cut(blobs.repartition(parts, "bucket").mapInArrow(_lists(sim), ROWS).select("bucket", "v", "n", "blob"))
-    # one document stands for each vertex in a list; its text is read again for the bitmap and the set
+    per_doc = cut(small_batches(base).mapInArrow(_sizes(k), "doc_id bigint, n bigint, v bigint"))
+    blobs = small_batches(base.select("text")).mapInArrow(_sketch(k, sim, 4 * parts), "bucket bigint, blob binary")
+    lists = cut(blobs.repartition(parts, "bucket").mapInArrow(_lists(sim), LISTS))
+    listed = lists.where("v IS NOT NULL").groupBy("v").agg(F.sum("keys").alias("keys"), F.min("need").alias("need"))
+    active = cut(listed.where("keys >= need").select("v"))
+    # one document stands for each vertex left; its text is read again for the bitmap and the set
     reps = per_doc.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    active = cut(lists.where("v is not null").select("v").distinct())
-    chosen = cut(reps.join(maybe_broadcast(active, 24), "v").where("rep is not null").select("v", "rep"))
+    chosen = cut(reps.join(maybe_broadcast(active, 24), "v").where("rep IS NOT NULL").select("v", "rep"))
 
     def again(base, wanted, fn, ddl):
         rows = base.join(maybe_broadcast(wanted, 32), base.doc_id == wanted.rep).select("v", "text")
@@ -452,8 +465,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(b, pa.binary())], ["v", "bits"])
 
     bits = again(base, chosen, with_bits, "v bigint, bits binary").dropDuplicates(["v"])
-    need = lists.where("v is not null").join(bits, "v").select("bucket", "v", "n", F.col("bits").alias("blob"))
-    tasks = need.unionByName(lists.where("v is null").select("bucket", "v", "n", "blob")).repartition(parts, "bucket")
+    need = lists.where("v IS NOT NULL").select("part", "v", "n").join(bits, "v").select("part", "v", "n", F.col("bits").alias("blob"))
+    tasks = need.unionByName(lists.where("v IS NULL").select("part", "v", "n", "blob")).repartition(parts, "part")
     clusters = components(tasks.mapInArrow(_candidates(sim), "a bigint, b bigint"))
     clusters = cut(clusters.join(chosen, clusters.node == chosen.v).select("v", "rep", "component"))
     bands = np.log(sim.den / sim.num)

@@ -1,0 +1,69 @@
+"""Paired A/B statistics: task differences, family means, bootstrap intervals, sign-flip tests."""
+
+from __future__ import annotations
+
+import random
+from statistics import NormalDist
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def task_differences(records: DataFrame, *, outcome: str = "score", worst_case: bool = False) -> DataFrame:
+    """family, task, difference: B minus A, averaged over the repetitions that both arms have.
+
+    Records: task, family, arm (A or B), repetition, passed, score.  A repetition without outcome is left out, or in the
+    worst case counts 0 for B and 1 for A."""
+    value = F.col(outcome).cast("double")
+    if worst_case:
+        value = F.coalesce(value, F.when(F.col("arm") == "A", 1.0).otherwise(0.0))
+    pairs = records.withColumn("v", value).groupBy("family", "task", "repetition").agg(F.avg(F.when(F.col("arm") == "A", F.col("v"))).alias("a"), F.avg(F.when(F.col("arm") == "B", F.col("v"))).alias("b"))
+    return pairs.where("a IS NOT NULL AND b IS NOT NULL").groupBy("family", "task").agg(F.avg(F.col("b") - F.col("a")).alias("difference"))
+
+
+def family_differences(records: DataFrame, **options) -> DataFrame:
+    """family, difference: the mean of its tasks' means."""
+    return task_differences(records, **options).groupBy("family").agg(F.avg("difference").alias("difference"), F.count("*").alias("tasks"))
+
+
+def bootstrap_interval(values: list[float], *, draws: int = 10_000, seed: int = 0, level: float = 0.95) -> tuple[float, float]:
+    """Percentile interval of the mean; percentiles by index.  ``values`` is one number for each family."""
+    if not values:
+        raise ValueError("no values")
+    r, n = random.Random(seed), len(values)
+    means = sorted(sum(r.choices(values, k=n)) / n for _ in range(draws))
+    tail = (1 - level) / 2
+    return means[int(draws * tail)], means[min(draws - 1, int(draws * (1 - tail)))]
+
+
+def sign_flip_exact(spark: SparkSession, values: list[float]) -> DataFrame:
+    """p: the share of all 2**n sign patterns whose sum is at least as far from 0 as the one seen (n <= 20)."""
+    n = len(values)
+    if n > 20:
+        raise ValueError("more than 20 values: use sign_flip_sampled")
+    seen = abs(sum(values))
+    total = sum((F.when(F.shiftright("id", i).bitwiseAND(1) == 1, F.lit(-v)).otherwise(F.lit(v)) for i, v in enumerate(values)), F.lit(0.0))
+    return spark.range(1 << n).agg(F.avg((F.abs(total) >= F.lit(seen - 1e-12)).cast("double")).alias("p"))
+
+
+def sign_flip_sampled(values: list[float], *, draws: int = 100_000, seed: int = 0) -> float:
+    r, seen = random.Random(seed), abs(sum(values))
+    hits = sum(abs(sum(v if r.random() < 0.5 else -v for v in values)) >= seen - 1e-12 for _ in range(draws))
+    return (hits + 1) / (draws + 1)
+
+
+def families_needed(sd: float, gain: float, *, smallest: float = 0.0, power: float = 0.8, alpha: float = 0.05) -> int:
+    """How many families show a gain over ``smallest`` with the given power, by the normal approximation."""
+    z = NormalDist().inv_cdf
+    k = ((z(1 - alpha / 2) + z(power)) * sd / (gain - smallest)) ** 2
+    return int(-(-k // 1))
+
+
+def analyze(spark: SparkSession, records: DataFrame, *, seed: int = 0, **options) -> dict:
+    """Mean difference over families with interval, p and verdict; one number for each family is read to the driver."""
+    values = [r.difference for r in family_differences(records, **options).orderBy("family").collect()]
+    low, high = bootstrap_interval(values, seed=seed)
+    p = sign_flip_exact(spark, values).first().p if len(values) <= 20 else sign_flip_sampled(values, seed=seed)
+    clear = (low > 0 or high < 0) and (len(values) > 20 or p < 0.05)
+    mean = sum(values) / len(values)
+    return {"families": len(values), "mean": mean, "interval": (low, high), "p": p, "verdict": ("better" if mean > 0 else "worse") if clear else "no visible difference"}

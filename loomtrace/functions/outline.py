@@ -1,7 +1,5 @@
 """Markdown outlines: sections with their path, level and lines."""
 
-from __future__ import annotations
-
 import re
 
 import pyarrow as pa

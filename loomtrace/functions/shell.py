@@ -1,7 +1,5 @@
 """Shell commands inside tool calls."""
 
-from __future__ import annotations
-
 import json
 import re
 import shlex

@@ -1,7 +1,5 @@
 """Text predicates and functions as columns; Arrow functions only where no built-in says the same."""
 
-from __future__ import annotations
-
 import re
 import unicodedata
 

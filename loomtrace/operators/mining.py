@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 START, END, SUCCESS = "START", "END:", "completed"
 
@@ -90,9 +89,9 @@ def contrast(seqs: DataFrame, in_group: Column, *, longest: int = 3, least: int
     case added to each cell, z and lift."""
     features = F.array_distinct(F.flatten(F.array(*(ngrams(F.col("names"), k) for k in range(1, longest + 1)))))
     rows = seqs.withColumn("g", in_group)
-    sizes = rows.agg(F.count_if("g").alias("A"), F.count_if(~F.col("g")).alias("B"))
+    sizes = rows.agg(F.count_if("g").alias("n_in"), F.count_if(~F.col("g")).alias("n_out"))
     counts = rows.select("g", F.explode(features).alias("pattern")).groupBy("pattern").agg(F.count_if("g").alias("a"), F.count_if(~F.col("g")).alias("b")).where(F.col("a") + F.col("b") >= least)
-    a, b, n, m = (F.col(c) for c in "a b A B".split())
+    a, b, n, m = (F.col(c) for c in ("a", "b", "n_in", "n_out"))
     h = 0.5
     odds = F.ln((a + h) / (n - a + h)) - F.ln((b + h) / (m - b + h))
     spread = F.sqrt(1 / (a + h) + 1 / (n - a + h) + 1 / (b + h) + 1 / (m - b + h))
@@ -125,12 +124,12 @@ def failure_sinks(seqs: DataFrame, least: int = 5) -> DataFrame:
     upto = lengths.withColumn("upto", F.sum("c").over(w)).withColumn("total", F.sum("c").over(Window.partitionBy()))
     cuts = upto.agg(*(F.min(F.when(F.col("upto") > F.floor(F.col("total") * q), F.col("n"))).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75))))
     rows = rows.crossJoin(F.broadcast(cuts)).withColumn("stratum", sum((F.col("n") > F.col(f"q{i}")).cast("int") for i in range(3)))
-    strata = rows.groupBy("stratum").agg(F.count("*").alias("N"), F.sum("ok").alias("S"))
+    strata = rows.groupBy("stratum").agg(F.count("*").alias("all_cases"), F.sum("ok").alias("all_done"))
     totals = rows.agg(F.avg("ok").alias("baseline"), F.count_if(F.col("ok") == 0).alias("failed"))
     inner = F.array_distinct(F.slice("names", 2, F.greatest(F.size("names") - 2, F.lit(0))))
     through = rows.select("stratum", "ok", F.explode(inner).alias("state")).groupBy("state", "stratum").agg(F.count("*").alias("k"), F.sum("ok").alias("s"))
-    delta = F.col("s") / F.col("k") - (F.col("S") - F.col("s")) / (F.col("N") - F.col("k"))
-    both = F.col("N") > F.col("k")
+    delta = F.col("s") / F.col("k") - (F.col("all_done") - F.col("s")) / (F.col("all_cases") - F.col("k"))
+    both = F.col("all_cases") > F.col("k")
     out = through.join(F.broadcast(strata), "stratum").groupBy("state").agg(F.sum("k").alias("cases"), F.sum("s").alias("done"), F.sum(F.when(both, delta * F.col("k"))).alias("d"), F.sum(F.when(both, F.col("k"))).alias("weight"))
     last = rows.where((F.col("ok") == 0) & (F.col("n") > 0)).groupBy(F.get("names", F.col("n")).alias("state")).agg(F.count("*").alias("last_in_failed"))
     out = out.where(F.col("cases") >= least).join(last, "state", "left").crossJoin(F.broadcast(totals))
@@ -184,7 +183,7 @@ def cycles(seqs: DataFrame, least: int = 2) -> DataFrame:
         for batch in batches:
             rows = [(c, *x, o != SUCCESS) for c, o, names in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for x in scan(names)]
             kinds = (pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], T.StructType.fromDDL(LOOP).fieldNames())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["case_id", "cycle", "iterations", "start", "end", "exit", "failed"])
 
     return seqs.select("case_id", "outcome", "names").mapInArrow(run, LOOP)
 

@@ -24,7 +24,7 @@ def bm25(df: DataFrame, words: list[str], *, key: str = "id", text: str = "text"
     rows = tokens.where(F.arrays_overlap("w", F.array(*map(F.lit, wanted)))).crossJoin(F.broadcast(facts))  # one row of totals
     score = F.lit(0.0)
     for i, w in enumerate(wanted):
-        tf = F.size(F.filter("w", lambda x, w=w: x == w))
+        tf = F.size("w") - F.size(F.array_remove("w", w))
         idf = F.greatest(F.ln((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
         score = score + words.count(w) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("w") / F.col("mean")))
     return rows.select(key, score.alias("score"))

@@ -6,8 +6,6 @@ shuffle however many terms there are.  Nulls follow the operators: predicates on
 dates, prefixes and folders stay null, so that their negation drops rows without a value.
 """
 
-from __future__ import annotations
-
 import os
 import re
 from datetime import UTC, datetime, timedelta

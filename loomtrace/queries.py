@@ -466,3 +466,101 @@ def word_counts(spark, d):
 def outlines(spark, d):
     text = F.concat(F.lit("# "), F.substring_index("text", "\n", 1), F.lit("\n"), "text", F.lit("\n## End\n"))
     return bridge.read(spark, d, "documents").select("doc_id", F.explode(outline.outline(text)).alias("x")).select("doc_id", "x.*")
+
+
+# --------------------------------------------------------------------------- graphs
+def day_world(spark: SparkSession, d: str):
+    from .operators import graphs
+
+    return graphs.from_sequences(day_cases(spark, d))
+
+
+def graph(name: str, text: str, sql: str | None, *columns: str) -> None:
+    """Register a graph query, returning key columns."""
+    from .operators import graphs
+
+    query(name, sql)(lambda spark, d: graphs.query(day_world(spark, d), text).select(*columns))
+
+
+graph("g_path_pattern", 'path:"error -> view ->> purchase" select:walk', f"{DAY}, x AS (SELECT case_id, '<' || array_to_string(names, '><') || '>' AS s FROM q) SELECT case_id AS walk_id FROM x WHERE regexp_matches(s, '<error><view>(<[^>]*>)*?<purchase>')", "walk_id")
+graph("g_path_anchored", 'path:"^START -> !error -> cl*" select:walk', f"{DAY} SELECT case_id AS walk_id FROM q WHERE names[2] <> 'error' AND starts_with(names[3], 'cl')", "walk_id")
+graph("g_edge_term", 'edge:"error -> *" select:edge', f"{DAY} SELECT DISTINCT source, target FROM t WHERE source = 'error'", "source", "target")
+graph("g_numeric_property", "node.visits>1000 select:node", f"{DAY} SELECT name AS node_id FROM (SELECT unnest(names) AS name FROM q) GROUP BY name HAVING count(*) > 1000", "node_id")
+graph("g_boolean_walks", 'label:signup -label:error outcome:completed select:walk', f"{DAY} SELECT case_id AS walk_id FROM q WHERE list_contains(names, 'signup') AND NOT list_contains(names, 'error') AND outcome = 'completed'", "walk_id")
+graph("g_walk_length", "walk.steps>=9 select:walk", f"{DAY} SELECT case_id AS walk_id FROM q WHERE len(names) >= 9", "walk_id")
+graph("g_node_by_walk", "outcome:completed select:node", f"{DAY} SELECT DISTINCT unnest(names) AS node_id FROM q WHERE outcome = 'completed'", "node_id")
+graph("g_loop_iterations", 'loop:"view -> click*2" select:walk', f"{DAY}, x AS (SELECT case_id, '<' || array_to_string(names, '><') || '>' AS s FROM q) SELECT case_id AS walk_id FROM x WHERE contains(s, '<view><click><view><click>') OR contains(s, '<click><view><click><view>')", "walk_id")
+graph("g_reaches", 'reaches:"START ~> END:completed" select:graph', "SELECT 'states' AS graph_id", "graph_id")
+
+
+@query("g_cross_kind_events", f"{LOG} SELECT id AS event_id FROM e WHERE event_type = 'purchase'")
+def cross_kind(spark, d):
+    """Events of the work graph's nodes, by the events that visits share."""
+    from .operators import graphs
+
+    return graphs.query(graphs.from_events(bridge.actions(spark, d).withColumn("kind", F.col("tool_name"))), "label:purchase select:event").select("event_id")
+
+
+@query("g_work_edges", f"{LOG} SELECT id AS source, lead(id) OVER (PARTITION BY s ORDER BY ts, id) AS target FROM e QUALIFY target IS NOT NULL")
+def work_edges(spark, d):
+    from .operators import graphs
+
+    return graphs.from_events(bridge.actions(spark, d)).edges.where("relation = 'next'").select("source", "target")
+
+
+# --------------------------------------------------------------------------- cases
+def _log_cases(spark: SparkSession, d: str):
+    """The log as agent work: signups prompt, purchases answer, clicks edit, views run tests, errors are their results."""
+    from .operators import cases
+
+    e, kind = bridge.actions(spark, d), F.col("tool_name")
+    w = sequence.stream()
+    call = kind.isin("view", "click")
+    e = e.withColumn("kind", F.when(call, "tool_call").when(kind == "error", "tool_result").otherwise("message")).withColumn("role", F.when(kind == "signup", "user").when(kind == "purchase", "assistant").otherwise("tool"))
+    e = e.withColumn("call_id", F.when(call, F.col("id")).when(kind == "error", F.lag("id").over(w)))
+    e = e.withColumn("arguments", F.when(kind == "view", '{"command": "pytest -q"}').when(kind == "click", '{"file_path": "src/a.py"}')).withColumn("action_kind", F.when(kind == "view", "shell.exec").when(kind == "click", "file.patch")).withColumn("tool_name", F.when(kind == "view", "bash").when(kind == "click", "edit"))
+    e = e.withColumn("text", F.when(kind == "signup", F.concat(F.lit("please add "), "id")).when(kind == "purchase", F.concat(F.lit("all tests pass "), "id")).otherwise("")).withColumn("native_id", F.lit(None).cast("string")).withColumn("status", F.when(F.col("kind") == "tool_result", "failure"))
+    return cases.actions(cases.case_rows(e))
+
+
+@query("c_actions", f"{LOG}, n AS (SELECT *, lead(event_type) OVER (PARTITION BY s ORDER BY ts, id) AS nxt FROM e) SELECT CASE event_type WHEN 'view' THEN CASE nxt WHEN 'error' THEN 'TEST:fail' ELSE 'TEST' END WHEN 'click' THEN CASE nxt WHEN 'error' THEN 'EDIT:src:fail' ELSE 'EDIT:src' END END AS label, count(*) AS n FROM n WHERE event_type IN ('view', 'click') GROUP BY 1")
+def actions(spark, d):
+    return _log_cases(spark, d).where("family IN ('TEST', 'EDIT')").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("c_outcomes")
+def outcomes(spark, d):
+    from .operators import cases
+
+    return cases.outcomes(_log_cases(spark, d))
+
+
+@query("c_states")
+def case_states(spark, d):
+    from .operators import cases
+
+    return cases.states(_log_cases(spark, d)).select("case_id", "pos", "name", "repeat")
+
+
+@query("c_findings")
+def findings(spark, d):
+    from .operators import cases
+
+    steps = _log_cases(spark, d)
+    return cases.findings(steps, cases.outcomes(steps)).groupBy("mode").agg(F.count("*").alias("n"))
+
+
+@query("c_critical_steps")
+def critical(spark, d):
+    from .operators import cases
+
+    steps = _log_cases(spark, d)
+    results = cases.outcomes(steps)
+    return cases.critical_steps(steps, results, cases.findings(steps, results)).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("c_archetypes")
+def archetypes(spark, d):
+    from .operators.archetypes import archetypes
+
+    return archetypes(day_cases(spark, d)).groupBy("cluster").agg(F.count("*").alias("cases"))

@@ -218,9 +218,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text:
 
 
 def _merged(a, b):
-    covered = lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.size(x) / F.lit(2) - 1), lambda i: F.when(F.size(x) == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(F.get(x, (2 * i).cast("int")), F.get(x, (2 * i + 1).cast("int")) - 1))))
+    def covered(x):
+        ends = F.filter(F.transform(x, lambda v, i: F.struct(v.alias("a"), F.get(x, i + 1).alias("b"), i.alias("i"))), lambda s: s["i"] % 2 == 0)
+        return F.flatten(F.transform(ends, lambda s: F.sequence(s["a"], s["b"] - 1)))
+
     at = F.array_sort(F.array_distinct(F.concat(covered(a["runs"]), covered(b["runs"]))))
-    runs = F.flatten(F.transform(at, lambda i: F.array(i, i + 1)))
+    starts = F.filter(at, lambda i: ~F.array_contains(at, i - 1))
+    ends = F.filter(at, lambda i: ~F.array_contains(at, i + 1))
+    runs = F.flatten(F.zip_with(starts, ends, lambda x, y: F.array(x, y + 1)))
     better = b["longest"] > a["longest"]
     return F.struct(a["n_words"].alias("n_words"), runs.alias("runs"), F.array_sort(F.array_union(a["items"], b["items"])).alias("items"), F.greatest(a["longest"], b["longest"]).alias("longest"), F.when(better, b["longest_at"]).otherwise(a["longest_at"]).alias("longest_at"))
 

@@ -61,7 +61,8 @@ def _element(parent: Node, tag: str, raw: str) -> Node:
         noise = False
     if tag == "header" and parent.main and not named:
         noise = False  # an article's own heading
-    words_ = "" if style == " " else "." + ".".join(sorted(re.split(r"[^a-z]+", style)))
+    # numbers in an id tell elements of a page apart, in a class they tell styles apart
+    words_ = "" if style == " " else "." + ".".join(sorted([*attributes.get("class", "").lower().split(), *re.split(r"[^a-z]+", attributes.get("id", "").lower())]))
     return Node(tag, f"{parent.path}/{tag}{words_}", noise, parent.main or (tag in MAIN_TAGS and not noise))
 
 

@@ -21,8 +21,8 @@ FAMILIES = {
     "build": r"^(make|cmake|cargo (build|check|clippy)|go (build|vet)|tsc|mvn|gradle|(npm|yarn|pnpm|bun)( run)? (build|lint|typecheck)|ruff|mypy|pyright|eslint|black|prettier|flake8|pylint|docker build|python3? -m build)\b",
     "edit": r"^(sed -i|sed -E -i|perl -p?i|tee\b|patch\b|apply_patch\b)",
     "git": r"^(git|gh)\b",
-    "search": r"^(grep|rg|ag|ack|find|fd|ls|tree|cat|head|tail|sed -n|wc|less|more|file|stat|du|awk|graphify|bat|nl|pwd|which|jq)\b",
-    "run": r"^(python3?|uv run|node|deno|bun|npx|\./|bash|sh|zsh|ruby|go run|cargo run|(npm|yarn|pnpm) (start|run)|curl|wget|docker|sqlite3|thearc)\b",
+    "search": r"^(grep|rg|ag|ack|find|fd|ls|tree|cat|head|tail|sed -n|wc|less|more|file|stat|du|awk|bat|nl|pwd|which|jq)\b",
+    "run": r"^(python3?|uv run|node|deno|bun|npx|\./|bash|sh|zsh|ruby|go run|cargo run|(npm|yarn|pnpm) (start|run)|curl|wget|docker|sqlite3)\b",
 }
 SETUP = r"^((cd|export|source|set|ulimit)\b[^&;|]*|[A-Z_][A-Z0-9_]*=\S*\s+|timeout\s+\d+\s+|time\s+|env\s+(\S+=\S+\s+)*)"
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import command_family, file_kind, significant_part
 from ..functions.shell import commands
 from ..model import ORDER
+from .checkpoint import cut
 from .traversal import tree_paths
 
 #: How texts are told apart.
@@ -214,6 +215,7 @@ def _finding(rows: DataFrame, mode, confidence: str, evidence: Column) -> DataFr
 
 def findings(steps: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """Failure findings by rule: ``case_id, idx, mode, confidence, evidence``.  ``results``: outcomes, for delegation."""
+    steps = cut(steps)  # every rule reads them
     case = Window.partitionBy("case_id")
     w = case.orderBy("idx")
     fam, idx = F.col("family"), F.col("idx")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.shell import commands
 from ..model import Store
 from ..operators.traversal import family_threads
 from .language import FIELDS, YES, And, Not, Or, Query, QueryError, Term, parse, positive, required, terms
@@ -198,6 +199,8 @@ class Compiler:
         events = store.events
         if {"tool", "action", "status"} & self.names:
             events = with_call_facts(events)
+        if "shell" in self.names:
+            events = events.withColumn("shell", F.when(F.col("kind") == "tool_call", F.array_join(commands(F.col("tool_name"), F.col("action_kind"), F.col("arguments"))["command"], "\n")))
         if store.tags is not None:
             events = events.join(store.tags.groupBy(F.col("event_id").alias("id")).agg(F.collect_set("tag").alias("tags")), "id", "left")
         elif "tag" in self.names:

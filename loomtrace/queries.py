@@ -11,6 +11,7 @@ from . import bridge
 from .functions import labels, outline, redaction
 from .functions.text import word_tokens
 from .operators import mining, ratings, sequence, statistics, traversal
+from .operators.checkpoint import cut
 from .plans import compiler
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -520,7 +521,7 @@ def _log_cases(spark: SparkSession, d: str):
     e = e.withColumn("call_id", F.when(call, F.col("id")).when(kind == "error", F.lag("id").over(w)))
     e = e.withColumn("arguments", F.when(kind == "view", '{"command": "pytest -q"}').when(kind == "click", '{"file_path": "src/a.py"}')).withColumn("action_kind", F.when(kind == "view", "shell.exec").when(kind == "click", "file.patch")).withColumn("tool_name", F.when(kind == "view", "bash").when(kind == "click", "edit"))
     e = e.withColumn("text", F.when(kind == "signup", F.concat(F.lit("please add "), "id")).when(kind == "purchase", F.concat(F.lit("all tests pass "), "id")).otherwise("")).withColumn("native_id", F.lit(None).cast("string")).withColumn("status", F.when(F.col("kind") == "tool_result", "failure"))
-    return cases.actions(cases.case_rows(e))
+    return cut(cases.actions(cases.case_rows(e)))
 
 
 @query("c_actions", f"{LOG}, n AS (SELECT *, lead(event_type) OVER (PARTITION BY s ORDER BY ts, id) AS nxt FROM e) SELECT CASE event_type WHEN 'view' THEN CASE nxt WHEN 'error' THEN 'TEST:fail' ELSE 'TEST' END WHEN 'click' THEN CASE nxt WHEN 'error' THEN 'EDIT:src:fail' ELSE 'EDIT:src' END END AS label, count(*) AS n FROM n WHERE event_type IN ('view', 'click') GROUP BY 1")

@@ -123,8 +123,8 @@ def _sketch(k: int, sim: Similarity, buckets: int):
             ids, n = np.array(list(seen), np.int64), np.array(sizes, np.int64)
             blobs = []
             for a, b in zip(at, [*at[1:], len(key)], strict=True):
-                used, inverse = np.unique(own[a:b], return_inverse=True)
-                blobs.append(np.array([b - a, len(used)], np.int64).tobytes() + key[a:b].tobytes() + ids[used].tobytes() + n[used].tobytes() + inverse.astype(np.uint32).tobytes())
+                used, count = np.unique(own[a:b], return_counts=True)  # keys of one vertex stand together
+                blobs.append(np.array([b - a, len(used)], np.int64).tobytes() + key[a:b].tobytes() + ids[used].tobytes() + np.stack([n[used], count]).astype(np.int32).tobytes())
             return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
@@ -154,21 +154,19 @@ def _list_rows(part: int, v=None, n=None, keys=None, need=None, blob=None) -> pa
     return pa.RecordBatch.from_arrays([pa.array([part] * size, pa.int64()), column(v, pa.int64()), column(n, pa.int64()), column(keys, pa.int64()), column(need, pa.int64()), column(blob, pa.binary())], ["part", "v", "n", "keys", "need", "blob"])
 
 
-def _lists(sim: Similarity):
+def _lists(sim: Similarity, homes: int):
     """Of a task's keys, those that several vertices of fitting size share: per vertex how many, and the lists, equal
-    ones once."""
+    ones once, by the home that a list's smallest vertex has; there the lists of one group meet again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, v, n = [], [], []
         for batch in batches:
             for blob in batch.column(1).to_pylist():
                 m, u = np.frombuffer(blob, np.int64, 2)
-                k = np.frombuffer(blob, np.uint64, m, 16)
-                ids, sizes = np.frombuffer(blob, np.int64, u, 16 + 8 * m), np.frombuffer(blob, np.int64, u, 16 + 8 * (m + u))
-                own = np.frombuffer(blob, np.uint32, m, 16 + 8 * (m + 2 * u))
-                key.append(k)
-                v.append(ids[own])
-                n.append(sizes[own].astype(np.int32))
+                facts = np.frombuffer(blob, np.int32, 2 * u, 16 + 8 * (m + u))
+                key.append(np.frombuffer(blob, np.uint64, m, 16))
+                v.append(np.repeat(np.frombuffer(blob, np.int64, u, 16 + 8 * m), facts[u:]))
+                n.append(np.repeat(facts[:u], facts[u:]))
         if not key:
             return
         key, v, n = map(np.concatenate, (key, v, n))
@@ -185,8 +183,8 @@ def _lists(sim: Similarity):
         key, v, n = key[fresh], v[fresh], n[fresh]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(key))
-        seen: set[int] = set()
-        out_v, out_n, blobs = [], [], []
+        out_v, out_n = [], []
+        blobs: dict[int, dict[bytes, None]] = {}
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             if b - a < 2:
                 continue
@@ -200,25 +198,42 @@ def _lists(sim: Similarity):
             ids = v[a:b][keep]
             out_v.append(ids)
             out_n.append(n[a:b][keep])
-            if (sign := hash(ids.tobytes())) in seen:
-                continue
-            seen.add(sign)
-            blobs.append(ids.tobytes())
+            blobs.setdefault(int(ids.min() % homes), {})[ids.tobytes()] = None
         if not blobs:
             return
         ids, first, count = np.unique(np.concatenate(out_v), return_index=True, return_counts=True)
         sizes = np.concatenate(out_n)[first]
-        part = int(key[0] % U64(1 << 62))  # any number that no other task has: a key of this task
         sizes = sizes.astype(np.int64)
-        yield _list_rows(part, v=ids, n=sizes, keys=count, need=sim.least_shared(sizes))
-        for i in range(0, len(blobs), 4096):
-            some = blobs[i : i + 4096]
-            packed = np.array([len(some), *(len(x) // 8 for x in some)], np.int64).tobytes() + b"".join(some)
-            yield _list_rows(part, blob=[packed])
+        yield _list_rows(0, v=ids, n=sizes, keys=count, need=sim.least_shared(sizes))
+        for home, some in blobs.items():
+            yield _list_rows(home, blob=[_pack(list(some))])
 
     return run
 
 
+def packed_lists(blob: bytes) -> Iterator[np.ndarray]:
+    raw = np.frombuffer(blob, np.int64)
+    ends = np.cumsum(raw[1 : 1 + raw[0]])
+    body = raw[1 + raw[0] :]
+    for a, b in pairwise([0, *ends.tolist()]):
+        yield body[a:b]
+
+
+def _pack(lists: list[bytes]) -> bytes:
+    return np.array([len(lists), *(len(x) // 8 for x in lists)], np.int64).tobytes() + b"".join(lists)
+
+
+def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per home: its lists, equal ones once, and the vertices that they name."""
+    homes: dict[int, dict[bytes, None]] = {}
+    for batch in batches:
+        for home, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            homes.setdefault(home, {}).update((x.tobytes(), None) for x in packed_lists(blob))
+    for home, lists in homes.items():
+        yield _list_rows(home, v=np.unique(np.frombuffer(b"".join(lists), np.int64)))
+        yield _list_rows(home, blob=[_pack(list(lists))])
+
+
 # --------------------------------------------------------------------------- trees
 def bitmap_width(n: int) -> int:
     """Bits for sets of n: a power of two, at least 128."""
@@ -375,8 +390,7 @@ def _candidates(sim: Similarity):
         parts: dict[int, list] = {}
         for batch in batches:
             for part, v, n, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                parts.setdefault(part, [[], [], [], []])
-                p = parts[part]
+                p = parts.setdefault(part, [[], [], [], []])
                 if v is None:
                     p[3].append(blob)
                 else:
@@ -386,17 +400,13 @@ def _candidates(sim: Similarity):
         for v, n, bits, blobs in parts.values():
             if not v:
                 continue
-            ids, n = np.array(v, np.int64), np.array(n, np.int64)
-            by = np.argsort(ids)
-            ids, n, bits = ids[by], n[by], [bits[k] for k in by.tolist()]
+            ids, by = np.unique(np.array(v, np.int64), return_index=True)
+            n, bits = np.array(n, np.int64)[by], [bits[k] for k in by.tolist()]
             forest = Forest(len(ids))
             for blob in blobs:
-                raw = np.frombuffer(blob, np.int64)
-                ends = np.cumsum(raw[1 : 1 + raw[0]])
-                body = raw[1 + raw[0] :]
-                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    at = np.searchsorted(ids, body[a:b])
-                    at = at[(at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == body[a:b])]
+                for some in packed_lists(blob):
+                    at = np.minimum(np.searchsorted(ids, some), len(ids) - 1)
+                    at = at[ids[at] == some]
                     if len(at) > 1:
                         join_members(sim, at, n, bits, forest, lambda x, y: True)
             yield _edges(ids, forest)
@@ -443,8 +453,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     per_doc = cut(small_batches(base).mapInArrow(_sizes(k), "doc_id bigint, n bigint, v bigint"))
-    blobs = small_batches(base.select("text")).mapInArrow(_sketch(k, sim, 4 * parts), "bucket bigint, blob binary")
-    lists = cut(blobs.repartition(parts, "bucket").mapInArrow(_lists(sim), LISTS))
+    blobs = small_batches(base.select("text")).mapInArrow(_sketch(k, sim, 2 * parts), "bucket bigint, blob binary")
+    lists = cut(blobs.repartition(parts, "bucket").mapInArrow(_lists(sim, parts), LISTS))
     listed = lists.where("v IS NOT NULL").groupBy("v").agg(F.sum("keys").alias("keys"), F.min("need").alias("need"))
     active = cut(listed.where("keys >= need").select("v"))
     # one document stands for each vertex left; its text is read again for the bitmap and the set
@@ -457,16 +467,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     def with_bits(batches):
         for batch in batches:
-            v, b = [], []
+            v, n, b = [], [], []
             for x, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
                 if set_id(s) == x and len(s):
                     v.append(x)
+                    n.append(len(s))
                     b.append(bitmap(s).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(b, pa.binary())], ["v", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.binary())], ["v", "n", "bits"])
 
-    bits = again(base, chosen, with_bits, "v bigint, bits binary").dropDuplicates(["v"])
-    need = lists.where("v IS NOT NULL").select("part", "v", "n").join(bits, "v").select("part", "v", "n", F.col("bits").alias("blob"))
-    tasks = need.unionByName(lists.where("v IS NULL").select("part", "v", "n", "blob")).repartition(parts, "part")
+    bits = again(base, chosen, with_bits, "v bigint, n bigint, bits binary").dropDuplicates(["v"])
+    homes = cut(lists.where("v IS NULL").select("part", "blob").repartition(parts, "part").mapInArrow(_needs, LISTS))
+    need = homes.where("v IS NOT NULL").select("part", "v").join(bits, "v").select("part", "v", "n", F.col("bits").alias("blob"))
+    tasks = need.unionByName(homes.where("v IS NULL").select("part", "v", "n", "blob")).repartition(parts, "part")
     clusters = components(tasks.mapInArrow(_candidates(sim), "a bigint, b bigint"))
     clusters = cut(clusters.join(chosen, clusters.node == chosen.v).select("v", "rep", "component"))
     bands = np.log(sim.den / sim.num)

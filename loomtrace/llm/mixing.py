@@ -105,26 +105,33 @@ def plan(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", tex
     raw = F.when(F.col("size") > 0, _rate(most)).otherwise(0.0) + F.when(F.col("size") > 0, u).otherwise(0.0)
     base = F.least(F.floor(raw), F.lit(most)).cast("bigint")
     grade = F.least(F.floor((raw - F.floor(raw)) * LEVELS), F.lit(LEVELS - 1)).cast("int")
-    copies = base
+    up = lambda sign: sign > 0
+
+    def free(fix, now) -> Column:
+        """Whether a correction may change a document: no larger than what is missing, and not changed before."""
+        return (F.col("size") > 0) & (F.col("size") <= fix["limit"]) & (now == F.col("base")) & F.when(up(fix["sign"]), F.col("base") < most).otherwise(F.col("base") > 0)
+
+    step = lambda sign: F.when(up(sign), -F.col("grade")).otherwise(F.col("grade"))
+    # corrections are rows of an array of each source, so that the expression stays the same for any number of them
+    copies = F.aggregate("fixes", F.col("base"), lambda now, fix: now + F.when(free(fix, now) & (step(fix["sign"]) <= fix["to"]), fix["sign"]).otherwise(0))
+    fix_type = "array<struct<sign:bigint,limit:double,to:int>>"
+    tilt = tilt.withColumn("fixes", F.array().cast(fix_type))
     w = Window.partitionBy("rank")  # LEVELS rows at most
-    for k in range(CORRECTIONS):
+    rounded = cut(sized.join(hint(tilt), F.col("source").eqNullSafe(F.col("key"))).select("rank", "size", base.alias("base"), grade.alias("grade")))
+    for _ in range(CORRECTIONS):
         # what a source lacks or has too much goes to or from documents no larger, each changed once, by threshold
-        now = sized.join(hint(tilt), F.col("source").eqNullSafe(F.col("key"))).select("rank", "size", "target", base.alias("base"), copies.alias("copies"), grade.alias("grade"))
-        error = now.groupBy("rank").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("error"))
-        tilt = cut(tilt.join(hint(error), "rank", "left").withColumnRenamed("error", f"error{k}"))
-        lack = F.col(f"error{k}")
-        free = (F.col("size") > 0) & (F.col("size") <= F.abs(lack)) & (copies == base) & F.when(lack > 0, base < most).otherwise(base > 0)
-        now = sized.join(hint(tilt), F.col("source").eqNullSafe(F.col("key"))).where(free)
-        mass = now.groupBy("rank", F.when(lack > 0, -grade).otherwise(grade).alias("step")).agg(F.first(lack).alias("error"), F.sum("size").alias("mass"))
-        gap = mass.withColumn("gap", F.abs(F.abs("error") - F.sum("mass").over(w.orderBy("step"))))
-        best = gap.groupBy("rank").agg(F.min(F.struct("gap", "step")).alias("b"), F.first(F.abs("error")).alias("e")).where(F.col("b.gap") < F.col("e")).select("rank", F.col("b.step").alias(f"to{k}"))
-        tilt = cut(tilt.join(hint(best), "rank", "left"))
-        moved = free & (F.when(lack > 0, -grade).otherwise(grade) <= F.col(f"to{k}"))
-        copies = copies + F.when(moved & (lack > 0), 1).when(moved, -1).otherwise(0)
+        now = rounded.join(hint(tilt.select("rank", "target", "fixes")), "rank").withColumn("copies", copies)
+        error = cut(now.groupBy("rank").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("error")).select("rank", F.signum("error").cast("bigint").alias("sign"), F.abs("error").alias("limit")))
+        open_ = now.join(hint(error), "rank").where(free({"sign": F.col("sign"), "limit": F.col("limit")}, F.col("copies")))
+        mass = open_.groupBy("rank", step(F.col("sign")).alias("step")).agg(F.first("limit").alias("limit"), F.first("sign").alias("sign"), F.sum("size").alias("mass"))
+        gap = mass.withColumn("gap", F.abs(F.col("limit") - F.sum("mass").over(w.orderBy("step"))))
+        best = gap.groupBy("rank").agg(F.min(F.struct("gap", "step")).alias("b"), F.first("limit").alias("limit"), F.first("sign").alias("sign")).where(F.col("b.gap") < F.col("limit"))
+        fix = best.select("rank", F.array(F.struct("sign", "limit", F.col("b.step").cast("int").alias("to"))).cast(fix_type).alias("fix"))
+        tilt = cut(tilt.join(hint(fix), "rank", "left").withColumn("fixes", F.concat("fixes", F.coalesce("fix", F.array().cast(fix_type)))).drop("fix"))
 
     name = free_name(docs, "mix")
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), (F.col("size") if text not in docs.columns else word_count(text)).alias("size"))
-    joined = inner.join(hint(tilt), F.col("source").eqNullSafe(F.col("key")))
+    joined = inner.join(hint(tilt), F.col("source").eqNullSafe(F.col("key"))).withColumn("base", base).withColumn("grade", grade)
     rate = F.when(F.col("size") > 0, _rate(most)).otherwise(0.0)
     mixed = F.struct("size", "source_size", "target", rate.alias("rate"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
     return joined.select("row.*", mixed.alias(name)), name

@@ -173,29 +173,29 @@ def _styles(node: Node) -> Iterator[tuple[str, str]]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: what it adds to its host's tree.  kind 0 is a presentation, 1 a content."""
+    """What each distinct page of a batch adds to its host's tree.  kind 0 is a presentation, 1 a content."""
     for batch in batches:
-        seen: dict[tuple[str, int, int, int], int] = {}
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not page:
-                continue
-            host, root = host_of(url), parse(page)
-            mine = {(host, _hash(path), 0, _hash(style)) for path, style in _styles(root)}
-            mine |= {(host, _hash(node.path), 1, _hash(text)) for node, noise, text in blocks(root) if not noise}
-            for key in mine:
-                seen[key] = seen.get(key, 0) + 1
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2, 3)), pa.array(list(seen.values()), pa.int64())], ["host", "path", "kind", "feature", "k"])
+        pages = {(host_of(u), p) for u, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if p}
+        hosts: list[str] = []
+        rows: list[tuple[int, int, int, int]] = []
+        for host, page in pages:
+            root, whole = parse(page), _hash(page)
+            mine = {(_hash(path), 0, _hash(style), whole) for path, style in _styles(root)}
+            mine |= {(_hash(node.path), 1, _hash(text), whole) for node, noise, text in blocks(root) if not noise}
+            hosts += [host] * len(mine)
+            rows += mine
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array([x[i] for x in rows], pa.int64()) for i in range(4))], ["host", "path", "kind", "feature", "page"])
 
 
 def site_style_tree(pages: DataFrame, *, url: str = "url", html_: str = "html") -> DataFrame:
     """``host, path, importance, content, pages`` of every style node, m being the pages that have it.
 
     Content importance is 1 minus the mean, over the node's distinct contents, of log_m of the pages with that
-    content, so that many copies of a page weigh as one; presentation importance is the entropy, base m, of its
-    child sequences.  The larger of both is the node's.
+    content; presentation importance is the entropy, base m, of its child sequences.  The larger of both is the
+    node's.  Copies of a page on one host, told apart by a hash of the html, are one page.
     """
-    counts = small_batches(pages.select(F.col(url).alias("u"), F.col(html_).alias("h")), rows=512).mapInArrow(_merge, "host string, path bigint, kind bigint, feature bigint, k bigint").groupBy("host", "path", "kind", "feature").agg(F.sum("k").alias("k"))
+    features = small_batches(pages.select(F.col(url).alias("u"), F.col(html_).alias("h")), rows=512).mapInArrow(_merge, "host string, path bigint, kind bigint, feature bigint, page bigint")
+    counts = features.groupBy("host", "path", "kind", "feature").agg(F.countDistinct("page").alias("k"))
     k, style = F.col("k"), F.col("kind") == 0
     sums = counts.groupBy("host", "path").agg(F.sum(F.when(style, k)).alias("m"), F.sum(F.when(style, k * F.ln(k))).alias("style"), F.count(F.when(~style, k)).alias("n"), F.sum(F.when(~style, F.ln(k))).alias("content"))
     m = F.greatest(F.coalesce("m", F.lit(1)), F.lit(2))

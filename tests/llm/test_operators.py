@@ -337,6 +337,17 @@ def test_style_tree_cuts_what_repeats(spark):
         htmltext.BROADCAST_PATHS = monkey
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    a = "<body><h1>A</h1>" + "".join(f"<p>a{k} text</p>" for k in range(20)) + "<ul><li>only here</ul></body>"
+    rows = [(k, f"http://a.org/{k}", a) for k in range(100)] + [(100, "http://a.org/b", "<body><h1>B</h1><p>b0<p>b1</body>")]
+    pages = frame(spark, rows, "page_id long, url string, html string")
+    found, name = htmltext.extract(pages)
+    got = {x.page_id: x[name].text for x in found.collect()}
+    assert len(got) == 101 and {got[k] for k in range(100)} == {"A " + " ".join(f"a{k} text" for k in range(20)) + " only here"} and got[100] == "B b0 b1"
+    few = htmltext.site_style_tree(frame(spark, [rows[0], rows[100]], "page_id long, url string, html string"))
+    assert sorted(htmltext.site_style_tree(pages).collect()) == sorted(few.collect())
+
+
 # --------------------------------------------------------------------------- toxicity
 def test_toxicity_on_held_out_texts(spark):
     r = random.Random(7)

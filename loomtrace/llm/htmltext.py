@@ -3,8 +3,9 @@
 The DOMs of a host's pages are merged by style path (tags and classes from the root down).  A style node's
 importance joins two entropies over the host's distinct pages: of its presentations (the child sequences seen) and
 of its contents (a block seen on k of m pages has entropy log_m k; important nodes hold blocks of few pages).  Branches
-of low importance on both counts, and branches whose presentation names a role that is never article text, are cut
-from each page; what is left of the article, or of the body where none is marked, is the text.
+of low importance on both counts, and branches whose tag or role is never article text, are cut from each page; what
+is left of the article, or of the body where none is marked, is the text.  Class and id words are weaker: a branch
+they name is kept after all where it holds the page's only article, or important text that is most of the page's.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ NOISE_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "button", "sel
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 NOISE_WORDS = set("ad ads advert adverts advertisement advertisements advertising adsense adbox banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
 MAIN_TAGS = {"article", "main"}
+#: Words of NOISE_WORDS for matter beside an article, even where that matter is marked as an article itself.
+BESIDE = set("ad ads advert adverts advertisement advertisements advertising adsense adbox comment comments commentlist cookie cookies consent discussion disqus gdpr promo promotion related replies reply respond sponsor sponsored".split())
+#: What makes an element noise: a word, a word of BESIDE, or its tag, role or style, which nothing overrules.
+NAMED, ASIDE, HARD = 1, 2, 3
 #: A branch below this importance, on a host with this many distinct pages at least, is noise.
 LEAST, PAGES = 0.2, 8
 #: Noisy style nodes of all hosts that are sent to every task at most; beyond it, pages are joined with their host's.
@@ -44,7 +49,7 @@ BROADCAST_PATHS = 500_000
 class Node:
     __slots__ = ("children", "main", "noise", "path", "tag")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
+    def __init__(self, tag: str, path: str, noise: int, main: bool):
         self.tag, self.path, self.noise, self.main = tag, path, noise, main
         self.children: list[Node | str] = []
 
@@ -56,11 +61,12 @@ def _element(parent: Node, tag: str, raw: str) -> Node:
             attributes.setdefault(k.lower(), html.unescape(v.strip("\"'")))
     style = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
     named = set(re.split(r"[^a-z]+", style)) & NOISE_WORDS if style != " " else ()
-    noise = bool(tag in NOISE_TAGS or named or attributes.get("role", "").lower() in NOISE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")))
+    hard = bool(tag in NOISE_TAGS or attributes.get("role", "").lower() in NOISE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")))
+    noise = HARD if hard else 0 if not named else ASIDE if named & BESIDE else NAMED
     if tag in ("body", "html") or (tag in MAIN_TAGS and not named & {"comment", "comments", "reply", "related", "ad", "ads", "promo", "sponsored"} if named else tag in MAIN_TAGS):
-        noise = False
+        noise = 0
     if tag == "header" and parent.main and not named:
-        noise = False  # an article's own heading
+        noise = 0  # an article's own heading
     # numbers in an id tell elements of a page apart, in a class they tell styles apart
     words_ = "" if style == " " else "." + ".".join(sorted([*attributes.get("class", "").lower().split(), *re.split(r"[^a-z]+", attributes.get("id", "").lower())]))
     return Node(tag, f"{parent.path}/{tag}{words_}", noise, parent.main or (tag in MAIN_TAGS and not noise))
@@ -68,7 +74,7 @@ def _element(parent: Node, tag: str, raw: str) -> Node:
 
 def parse(page: str) -> Node:
     """A DOM, with the end tags that authors leave out; anything that isn't markup is text."""
-    root = Node("#", "", False, False)
+    root = Node("#", "", 0, False)
     stack, at = [root], 0
     while (m := TOKEN.search(page, at)) is not None:
         if m.start() > at:
@@ -116,37 +122,39 @@ def parse(page: str) -> Node:
     return root
 
 
-def blocks(root: Node) -> list[tuple[Node, bool, str]]:
-    """Text blocks in page order as (innermost block element, below a noise element, text with markup decoded)."""
-    out: list[tuple[Node, bool, str]] = []
+def blocks(root: Node) -> list[tuple[Node, tuple[Node, ...], str]]:
+    """Text blocks in page order as (innermost block element, elements above it that words name as noise, text with
+    markup decoded); none below an element that is noise by its tag, role or style."""
+    out: list[tuple[Node, tuple[Node, ...], str]] = []
     held: list[str] = []
-    owner: list = [root, False]
+    owner: list = [root, ()]
 
-    def flush(node: Node, noise: bool) -> None:
-        if held and (text := " ".join(html.unescape("".join(held)).split())):
+    def flush(node: Node, named: tuple[Node, ...] | None) -> None:
+        if held and owner[1] is not None and (text := " ".join(html.unescape("".join(held)).split())):
             out.append((owner[0], owner[1], text))
         held.clear()
-        owner[:] = node, noise
+        owner[:] = node, named
 
-    todo: list[tuple] = [(root, False, 0, root)]
+    todo: list[tuple] = [(root, (), 0, root)]
     while todo:
-        node, noise, k, block = todo.pop()
+        node, named, k, block = todo.pop()
         if k < len(node.children):
-            todo.append((node, noise, k + 1, block))
+            todo.append((node, named, k + 1, block))
             child = node.children[k]
             if isinstance(child, str):
                 held.append(child)
             elif child.tag == "br":
                 held.append("\n")
             elif child.tag in INLINE and not child.noise:
-                todo.append((child, noise, 0, block))
+                todo.append((child, named, 0, block))
             else:
-                flush(child, noise or child.noise)
-                todo.append((child, noise or child.noise, 0, child))
+                below = None if named is None or child.noise == HARD else (*named, child) if child.noise else named
+                flush(child, below)
+                todo.append((child, below, 0, child))
         elif node is block and todo:
             above = todo[-1]
             flush(above[3], above[1])
-    flush(root, False)
+    flush(root, ())
     return out
 
 
@@ -181,7 +189,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page in pages:
             root, whole = parse(page), _hash(page)
             mine = {(_hash(path), 0, _hash(style), whole) for path, style in _styles(root)}
-            mine |= {(_hash(node.path), 1, _hash(text), whole) for node, noise, text in blocks(root) if not noise}
+            mine |= {(_hash(node.path), 1, _hash(text), whole) for node, _, text in blocks(root)}
             hosts += [host] * len(mine)
             rows += mine
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array([x[i] for x in rows], pa.int64()) for i in range(4))], ["host", "path", "kind", "feature", "page"])
@@ -204,13 +212,44 @@ def site_style_tree(pages: DataFrame, *, url: str = "url", html_: str = "html")
     return sums.select("host", "path", F.greatest(content, shown).alias("importance"), content.alias("content"), F.coalesce("m", F.lit(0)).alias("pages"))
 
 
+def _kept(found: list[tuple[Node, tuple[Node, ...], str]], important: list[bool]) -> list[bool]:
+    """Which blocks of a page are text, where class and id words alone decide only what nothing else does.
+
+    Without an article of its own, a page has those below merely named wrappers.  In the article, or in the page where
+    none is marked, a named branch is main text if its important text exceeds all else that is kept.
+    """
+    freed: set[Node] = set()
+    pool = [node.main and all(x.main or x.noise == NAMED for x in named) for node, named, _ in found]
+    if not any(p and not named for p, (_, named, _) in zip(pool, found, strict=True)):
+        freed = {x for p, (_, named, _) in zip(pool, found, strict=True) if p for x in named if not x.main}
+    if not any(pool):
+        pool = [True] * len(found)
+    while True:
+        free = [p and freed.issuperset(named) for p, (_, named, _) in zip(pool, found, strict=True)]
+        kept, branches = 0, {}
+        for p, (_, named, text), weighs in zip(pool, found, important, strict=True):
+            closed = [x for x in named if x not in freed]
+            if not p or not weighs:
+                continue
+            if not closed:
+                kept += len(text)
+            elif all(x.noise == NAMED for x in closed) or not any(free):
+                branches[closed[0]] = branches.get(closed[0], 0) + len(text)
+        best = max(branches, key=branches.get, default=None)
+        if best is None or branches[best] <= kept:
+            return free
+        freed.add(best)
+
+
 def text_of(page: str, noisy: frozenset[int] | set[int]) -> str:
     """The main text of a page on a host whose style nodes ``noisy`` (path hashes) are of low importance."""
-    found = [(node, text) for node, noise, text in blocks(parse(page)) if not noise]
-    if any(node.main for node, _ in found):
-        found = [(node, text) for node, text in found if node.main]
-    left = [text for node, text in found if _hash(node.path) not in noisy] if noisy else [text for _, text in found]
-    return " ".join(left or [text for _, text in found])
+    found = blocks(parse(page))
+    important = [_hash(node.path) not in noisy for node, _, _ in found] if noisy else [True] * len(found)
+    chosen = [(node, text, weighs) for (node, _, text), weighs, kept in zip(found, important, _kept(found, important), strict=True) if kept]
+    if any(node.main for node, _, _ in chosen):
+        chosen = [x for x in chosen if x[0].main]
+    left = [text for _, text, weighs in chosen if weighs]
+    return " ".join(left or [text for _, text, _ in chosen])
 
 
 def extract(pages: DataFrame, *, url: str = "url", html_: str = "html") -> tuple[DataFrame, str]:

@@ -348,6 +348,26 @@ def test_copies_of_a_page_are_one_page(spark):
     assert sorted(htmltext.site_style_tree(pages).collect()) == sorted(few.collect())
 
 
+def test_words_alone_never_lose_the_page():
+    none = frozenset()
+    story = "<article><h1>Title</h1><p>Story</p><div class=share>Share</div></article>"
+    for wrapped in ("<div class='elementor-widget-container'>{}</div>", "<div id='modal-root'><div class='with-sidebar'>{}</div></div>"):
+        assert htmltext.text_of(f"<body><p>Top</p>{wrapped.format(story)}<div class=comments><article>reader</article></div></body>", none) == "Title Story"
+    assert htmltext.text_of("<article><h1>Title</h1><div class='widget-container'><p>Long story</p><div class=share>Share</div></div></article>", none) == "Title Long story"
+    assert htmltext.text_of("<div class='with-sidebar'><nav>Home</nav><p>Long story of the page</p><div class=sidebar>Links</div></div><div>Tiny</div>", none) == "Long story of the page Tiny"
+    assert htmltext.text_of("<div class='sidebar'><article>Teaser</article></div><article>Whole story</article>", none) == "Whole story"
+    assert htmltext.text_of("<article>Teaser</article><div class='widget-container'><article>Whole story</article></div>", none) == "Teaser Whole story"
+    assert htmltext.text_of("<p>Story</p><div class=comments><article>A long reply of a reader</article></div>", none) == "Story"
+    assert htmltext.text_of("<div class=comments>Only this</div>", none) == "Only this"
+    assert htmltext.text_of("<div class=widget aria-hidden=true><article>Hidden</article></div>", none) == ""
+
+
+def test_importance_overrules_words(spark):
+    page = "<body><div class=with-sidebar><p>Story {0} of the page {0}</p></div><div class=x>By {0}</div><div class=notice>The same notice, much longer than any story, on all pages of the host</div></body>"
+    found, name = htmltext.extract(frame(spark, [(k, f"http://a.org/{k}", page.format(k)) for k in range(20)], "page_id long, url string, html string"))
+    assert {x.page_id: x[name].text for x in found.collect()} == {k: f"Story {k} of the page {k} By {k}" for k in range(20)}
+
+
 # --------------------------------------------------------------------------- toxicity
 def test_toxicity_on_held_out_texts(spark):
     r = random.Random(7)

@@ -4,6 +4,10 @@ Units are lines, paragraphs and the whole text.  A unit reaches the threshold t
 if it has between t/(2-t)*b and (2-t)/t*b distinct bigrams (size bounds) and holds one of any b-o+1 of the
 template's bigrams, o being the least overlap; for each template those with the longest words are chosen, and a text
 without any of their longer words is passed over.  Both bounds are exact.
+
+Inline, all runs of words of up to the upper bound are units too, whatever lines they stand on.  The best run for a
+template starts and ends with one of its bigrams, so only those are compared, and only in texts that hold as many of
+the template's bigrams as the least overlap.
 """
 
 from __future__ import annotations
@@ -31,6 +35,18 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Further notices, for the inline scan.
+MORE_TEMPLATES = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD = 0.6
 
@@ -62,28 +78,51 @@ def _units(text: Column) -> Column:
     return F.array_distinct(F.concat(lines, paragraphs, F.array(text)))
 
 
-def scan(docs: DataFrame, *, text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> tuple[DataFrame, str]:
+def _pairs(unit: Column) -> Column:
+    words = F.filter(F.split(unit, "[^a-z0-9]+"), lambda w: w != "")
+    return F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+
+
+def _best_run(p: Column, t: Column) -> Column:
+    """The highest coefficient with a template of the runs of at most ``most`` of the text's bigrams; null if none."""
+    at = F.filter(F.transform(p, lambda x, i: F.when(F.array_contains(t["b"], x), i)), lambda i: i.isNotNull())
+
+    def dice(run: Column) -> Column:
+        return F.lit(2.0) * F.size(F.array_intersect(run, t["b"])) / (F.size(F.array_distinct(run)) + t["n"])
+
+    def from_(at: Column, i: Column, k: Column) -> Column:
+        ends = F.filter(F.slice(at, k + 1, t["most"]), lambda j: j < i + t["most"])
+        return F.when(F.size(ends) >= t["least"], F.array_max(F.transform(ends, lambda j: F.transform(F.array(F.slice(p, i + 1, j - i + 1)), dice)[0])))
+
+    return F.transform(F.array(at), lambda at: F.array_max(F.transform(at, lambda i, k: from_(at, i, k))))[0]
+
+
+def scan(docs: DataFrame, *, text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD, inline: bool = False) -> tuple[DataFrame, str]:
     """The documents with one struct column added, and its name: ``license`` (best template, ties by name; null if
     none), ``dice`` (0 if none), ``licenses`` (all templates reached, sorted, comma-joined).
 
-    Null and empty texts match nothing.  Rows are kept, repeated ones too; other columns pass through whatever their
+    ``inline`` looks for notices inside longer lines and paragraphs too, among MORE_TEMPLATES besides unless templates
+    are given.  Null and empty texts match nothing.  Rows are kept, repeated ones too; other columns pass through whatever their
     names.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = (TEMPLATES | MORE_TEMPLATES if inline else TEMPLATES) if templates is None else templates
     table = F.array(*(F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n"), *(F.lit(x).alias(c) for c, x in zip(("least", "most"), bounds(len(b), threshold), strict=True))) for k, t in sorted(templates.items()) if (b := bigrams(t))))
     fewest = min(bounds(len(bigrams(t)), threshold)[0] for t in templates.values())
     lower = F.translate(F.col(text), UPPER, LOWER)
 
     def reached(unit: Column) -> Column:
-        words = F.filter(F.split(unit, "[^a-z0-9]+"), lambda w: w != "")
-        pairs = F.array_distinct(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))))
-        return F.filter(F.array(pairs), lambda p: F.size(p) > fewest)
+        return F.filter(F.array(F.array_distinct(_pairs(unit))), lambda p: F.size(p) > fewest)
 
     sets = F.flatten(F.transform(_units(lower), reached))
     sets = F.transform(sets, lambda p: F.filter(p, lambda x: x.isNotNull()))
     hits = F.flatten(F.transform(sets, lambda p: F.transform(
         F.filter(table, lambda t: (F.size(p) >= t["least"]) & (F.size(p) <= t["most"])),
         lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(p, t["b"])) / (F.size(p) + t["n"])).alias("dice"), t["id"].alias("id")))))
+    if inline:
+        every = F.array(*map(F.lit, sorted({x for t in templates.values() for x in bigrams(t)})))
+        within = lambda p, held: F.transform(F.filter(table, lambda t: F.size(F.array_intersect(held, t["b"])) >= t["least"]), lambda t: F.struct(_best_run(p, t).alias("dice"), t["id"].alias("id")))
+        runs = F.transform(F.array(_pairs(lower)), lambda p: F.transform(F.array(F.array_intersect(p, every)), lambda held: within(p, held))[0])[0]
+        hits = F.concat(hits, runs)
     hits = F.filter(hits, lambda h: h["dice"] >= threshold)
     pattern = "|".join(marker_words(templates, threshold))
     found = F.when(lower.rlike(pattern), hits).otherwise(F.array().cast("array<struct<dice:double,id:string>>"))

@@ -68,6 +68,12 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col(f"{name}.license"), F.col(f"{name}.dice"), F.col(f"{name}.licenses"))
 
 
+def license_scan_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with notices inside longer lines and paragraphs; the SQL has whole lines and paragraphs only."""
+    found, name = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), inline=True)
+    return found.select("doc_id", F.col(f"{name}.license"), F.col(f"{name}.dice"), F.col(f"{name}.licenses"))
+
+
 def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url")
 
@@ -82,5 +88,6 @@ QUERIES = {
     "op7_html_extraction": html_extraction,
     "op8_toxicity": toxic,
     "op9_license_scan": license_scan,
+    "op9_license_scan_inline": license_scan_inline,
     "op10_warc_archive": warc_archive,
 }

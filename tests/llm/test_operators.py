@@ -413,6 +413,36 @@ def test_licences_match_sql(spark):
     assert got["license"].notna().sum() > 40
 
 
+def test_inline_licences_match_brute_force(spark):
+    r, templates = random.Random(9), {k: licenses.TEMPLATES[k] for k in ("Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "BSD")}
+    rows = [(0, "This project is licensed under the Apache License, Version 2.0. See the file named above for all of the details that matter here."), (1, None), (2, ""), (3, "one"), (4, sentence(r, 30))]
+    for k in range(40):
+        note = " ".join(w for w in r.choice(list(templates.values())).split() if r.random() < r.choice([0.7, 0.95, 1]))
+        rows.append((10 + k, f"{sentence(r, 20)} {note} {sentence(r, 12)}"))
+
+    def brute(text):
+        w = re.findall("[a-z0-9]+", (text or "").translate(LOWER))
+        pairs, best = [f"{a} {b}" for a, b in zip(w, w[1:])], {}
+        for name, t in templates.items():
+            b = set(licenses.bigrams(t))
+            most = licenses.bounds(len(b), licenses.THRESHOLD)[1]
+            for i in range(len(pairs)):
+                for j in range(i + 1, min(i + most, len(pairs)) + 1):
+                    u = set(pairs[i:j])
+                    best[name] = max(best.get(name, 0), 2 * len(u & b) / (len(u) + len(b)))
+        best = {n: d for n, d in best.items() if d >= licenses.THRESHOLD}
+        top = max(best.values(), default=0.0)
+        return min((n for n, d in best.items() if d == top), default=None), top, ",".join(sorted(best))
+
+    docs = frame(spark, rows, "doc_id long, text string")
+    found, name = licenses.scan(docs, templates=templates, inline=True)
+    got = {x.doc_id: (x[name].license, pytest.approx(x[name].dice), x[name].licenses) for x in found.collect()}
+    want = {k: brute(t) for k, t in rows}
+    assert want == got and want[0] == ("Apache-2.0", 1.0, "Apache-2.0")
+    found, name = licenses.scan(docs.where("doc_id = 0"), inline=True)
+    assert found.first()[name].license == "Apache-2.0"
+
+
 # --------------------------------------------------------------------------- archives
 def test_archives_match_sql(spark, tmp_path):
     r = random.Random(9)

@@ -52,6 +52,11 @@ def sign_flip_sampled(values: list[float], *, draws: int = 100_000, seed: int =
     return (hits + 1) / (draws + 1)
 
 
+def sign_flip(spark: SparkSession, values: list[float], *, seed: int = 0) -> float:
+    """p over all values: exact up to 20 of them, else sampled."""
+    return sign_flip_exact(spark, values).first().p if len(values) <= 20 else sign_flip_sampled(values, seed=seed)
+
+
 def families_needed(sd: float, gain: float, *, smallest: float = 0.0, power: float = 0.8, alpha: float = 0.05) -> int:
     """How many families show a gain over ``smallest`` with the given power, by the normal approximation."""
     z = NormalDist().inv_cdf
@@ -63,7 +68,7 @@ def analyze(spark: SparkSession, records: DataFrame, *, seed: int = 0, **options
     """Mean difference over families with interval, p and verdict; one number for each family is read to the driver."""
     values = [r.difference for r in family_differences(records, **options).orderBy("family").collect()]
     low, high = bootstrap_interval(values, seed=seed)
-    p = sign_flip_exact(spark, values).first().p if len(values) <= 20 else sign_flip_sampled(values, seed=seed)
+    p = sign_flip(spark, values, seed=seed)
     clear = (low > 0 or high < 0) and (len(values) > 20 or p < 0.05)
     mean = sum(values) / len(values)
     return {"families": len(values), "mean": mean, "interval": (low, high), "p": p, "verdict": ("better" if mean > 0 else "worse") if clear else "no visible difference"}

@@ -433,6 +433,13 @@ def sign_flip(spark, d):
     return statistics.sign_flip_exact(spark, values).select(F.round("p", 6).alias("p"))
 
 
+@query("st_sign_flip")
+def sign_flip_all(spark, d):
+    """Over all families; the SQL of st_sign_flip_exact has the first ten only."""
+    values = [r.difference for r in statistics.family_differences(_records(spark, d)).orderBy("family").collect()]
+    return spark.createDataFrame([(len(values), round(statistics.sign_flip(spark, values), 6))], "families long, p double")
+
+
 # --------------------------------------------------------------------------- text
 @query("f_redaction", r"SELECT doc_id, regexp_replace(text, '((?i:token)\s*=\s*"+'"'+r")[0-9][0-9a-f]{39}', '\1[REDACTED:assignment]', 'g') AS text FROM documents")
 def redact(spark, d):

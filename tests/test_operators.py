@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomtrace import queries
 from loomtrace.functions import labels, outline, redaction
 from loomtrace.functions.shell import of_call
 from loomtrace.model import EVENT
@@ -234,6 +235,15 @@ def test_statistics(spark):
     assert statistics.analyze(spark, rows)["mean"] == pytest.approx(0.5)
 
 
+@pytest.mark.parametrize("n", [12, 22])
+def test_sign_flip_has_all_families(spark, tmp_path, n):
+    items = [(t, 1, s, t, 0.01 * (t % 3 + 1) if s == "O" else 0.0) for t in range(n) for s in "FO"]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_linestatus string, l_partkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(t, f"Brand#{t:02}") for t in range(n)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    row = queries.QUERIES["st_sign_flip"](spark, str(tmp_path)).first()
+    assert row.families == n and row.p == pytest.approx(2 / 2**n, abs=1e-4 if n > 20 else 1e-6)
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert [one(labels.file_kind(F.lit(p))) for p in ("tests/a.py", "a_test.go", "x/Makefile", "README.md", "m.rs", ".env", "z.bin")] == ["test", "test", "config", "docs", "src", "config", "other"]

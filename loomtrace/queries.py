@@ -470,6 +470,12 @@ def word_counts(spark, d):
     return bridge.read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(word_tokens(F.col("text"))).cast("bigint").alias("words"))
 
 
+@query("f_word_counts_all")
+def word_counts_all(spark, d):
+    """Of every document; the SQL of f_word_counts has the English ones only."""
+    return bridge.read(spark, d, "documents").select("doc_id", F.size(word_tokens(F.col("text"))).cast("bigint").alias("words"))
+
+
 @query("f_outline")
 def outlines(spark, d):
     text = F.concat(F.lit("# "), F.substring_index("text", "\n", 1), F.lit("\n"), "text", F.lit("\n## End\n"))

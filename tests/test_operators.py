@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +245,13 @@ def test_sign_flip_has_all_families(spark, tmp_path, n):
     assert row.families == n and row.p == pytest.approx(2 / 2**n, abs=1e-4 if n > 20 else 1e-6)
 
 
+def test_word_counts_have_all_languages(spark, tmp_path):
+    texts = ["The end, x_1", "Été à l'école — Ça", "Größe über-alles 12", "¿Qué? ¡niño!", "日本 語", "", " -- "]
+    spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(zip(texts, ("en", "fr", "de", "es", None, "en", "fr")))], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.words for r in queries.QUERIES["f_word_counts_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: len("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in t).split()) for k, t in enumerate(texts)}
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert [one(labels.file_kind(F.lit(p))) for p in ("tests/a.py", "a_test.go", "x/Makefile", "README.md", "m.rs", ".env", "z.bin")] == ["test", "test", "config", "docs", "src", "config", "other"]

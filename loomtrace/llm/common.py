@@ -18,11 +18,16 @@ TOO_BIG_TO_BROADCAST = 32 << 20
 
 # --------------------------------------------------------------------------- lineage
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder.  Where none is set, a local master gets a temporary one; a cluster is an error,
+    as its machines share no temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="loomtrace-")
+        if current.isDefined():
+            return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="loomtrace-")
     return folder
 
 
@@ -34,12 +39,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(df: DataFrame, rows: int = 1024, size: int = 16 << 20) -> DataFrame:
-    """Bound what one Arrow batch holds, so that a worker's memory doesn't follow text length."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-    return df
+def bounded(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``size`` bytes (one row may be longer)."""
+    for batch in batches:
+        step = rows if batch.nbytes <= size else max(1, min(rows, int(batch.num_rows * size / batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def in_batches(df: DataFrame, fn, schema, rows: int = 1024, size: int = 16 << 20) -> DataFrame:
+    """``mapInArrow`` whose function sees batches of bounded size, whatever later plans set in the session: the bound
+    is part of the function.  The session's own bound (64 MB a batch by default) limits what is sent at once."""
+    return df.mapInArrow(lambda batches: fn(bounded(batches, rows, size)), schema)
 
 
 # --------------------------------------------------------------------------- tokens
@@ -218,4 +229,4 @@ def with_text_struct(df: DataFrame, text: str, name: str, ddl: str, make) -> Dat
             cols = [x if isinstance(x, pa.Array) else pa.array(x) for x in (got[n] for n in names)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(cols, names)], [*batch.schema.names, name])
 
-    return small_batches(df).mapInArrow(run, out)
+    return in_batches(df, run, out)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX_A, NOT_SPACE, U64, Forest, components, cut, maybe_broadcast, mix, small_batches, text_chunks, words
+from .common import GOLDEN, MIX_A, NOT_SPACE, U64, Forest, components, cut, in_batches, maybe_broadcast, mix, text_chunks, words
 
 FANOUT = 8
 #: Keys that a task gathers before it hands them on, and vertices that one task of step 3 compares at once.
@@ -452,8 +452,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    per_doc = cut(small_batches(base).mapInArrow(_sizes(k), "doc_id bigint, n bigint, v bigint"))
-    blobs = small_batches(base.select("text")).mapInArrow(_sketch(k, sim, 2 * parts), "bucket bigint, blob binary")
+    per_doc = cut(in_batches(base, _sizes(k), "doc_id bigint, n bigint, v bigint"))
+    blobs = in_batches(base.select("text"), _sketch(k, sim, 2 * parts), "bucket bigint, blob binary")
     lists = cut(blobs.repartition(parts, "bucket").mapInArrow(_lists(sim, parts), LISTS))
     listed = lists.where("v IS NOT NULL").groupBy("v").agg(F.sum("keys").alias("keys"), F.min("need").alias("need"))
     active = cut(listed.where("keys >= need").select("v"))
@@ -463,7 +463,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     def again(base, wanted, fn, ddl):
         rows = base.join(maybe_broadcast(wanted, 32), base.doc_id == wanted.rep).select("v", "text")
-        return small_batches(rows).mapInArrow(fn, ddl)
+        return in_batches(rows, fn, ddl)
 
     def with_bits(batches):
         for batch in batches:

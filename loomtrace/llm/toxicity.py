@@ -1,11 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Two interpolated Kneser-Ney models, of toxic and of ordinary text, predict each word from the one before it and back
-off to the word alone, to its first six and its first four bytes (so that inflected forms share evidence), and at last
-to one shared distribution, the counts of both classes together.  A rare expression thus weighs nothing until a class
-has seen it in several contexts.  A text's evidence is its length-normalised log-likelihood ratio, over the whole text
-and over its most toxic words; a logistic function fitted on texts that the models did not see turns both into
-a score.
+Two interpolated Kneser-Ney models, of toxic and of ordinary text, give the likelihood of each word with the one before
+it and back off to the word alone, to its first six and its first four bytes (so that inflected forms share evidence),
+and at last to one distribution that both classes share.  Every level counts the different things it was seen with, not
+occurrences: a pair and a word the different words before them, a prefix the different words that begin with it, and the
+shared distribution the classes that know a prefix at all; what a level leaves to the next is dealt by counts that both
+classes share.  A rare expression thus weighs next to nothing, one that a class
+has seen in many contexts a lot.  Discounts are estimated from the counts of counts of each class and level.
+
+A text's evidence is the difference of its length-normalised log-likelihoods under both models, of the whole text and of
+its most toxic windows of a few lengths, so that an insult isn't thinned out by the text around it.  A logistic function
+fitted on texts that the models did not see turns these into a score.
 """
 
 from __future__ import annotations
@@ -20,13 +25,14 @@ from .common import ALNUM, GOLDEN, MIX_A, MIX_B, U64, cut, free_name, hash_spans
 START = U64(1)
 #: Bytes of the prefixes that words back off to.
 PREFIXES = (6, 4)
-#: Words that are looked at besides the whole text, the most toxic ones; parts of the sample for calibration.
-TOP, FOLDS = 2, 4
-#: Absolute discounts of words and pairs.  Both count by the different words before them, so that copies of a text add
-#: nothing; an expression with no more contexts in a class counts only through the shared distribution.
-WORD_DISCOUNT, PAIR_DISCOUNT = 4, 8
+#: Levels of the models: pairs, words, prefixes.
+LEVELS = 2 + len(PREFIXES)
+#: Words of the windows, and parts of the sample for calibration.
+WINDOWS, FOLDS = (1, 2, 4, 8), 4
 #: Most that one word weighs, so that a memorised copy doesn't outweigh everything else.
 MOST = 8.0
+#: The estimated discounts predict text best; stretched by this they told held-out classes apart best (of 1, 1.5, 2, 3, 4 and 8).
+STRETCH = 1.5
 
 
 def units(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
@@ -34,140 +40,131 @@ def units(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray)
     return [h, *(hash_spans(low, starts, np.minimum(ends, starts + n)) for n in PREFIXES)]
 
 
-def discounts(count: np.ndarray, most: int) -> np.ndarray:
-    """What each count gives to the shared distribution: ``most``, or all of a smaller count."""
-    return np.minimum(count, most).astype(float)
+def discounts(count: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney: what counts of one, of two and of more give up, from the numbers of counts of one to four."""
+    n = np.bincount(np.minimum(count.astype(np.int64), 5), minlength=6)[1:5].astype(float)
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    off = np.zeros(4)
+    for k in range(3):
+        off[k + 1] = k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else y * (k + 1)
+        off[k + 1] = np.clip(off[k + 1], 0.1, 0.95 * (k + 1))
+    return np.minimum(count, STRETCH * off[np.minimum(count.astype(np.int64), 3)])
 
 
-def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's predecessor (START at the beginning of a text) and the hash of both."""
+def pairs(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The hash of each word and its predecessor (START at the beginning of a text)."""
     u = np.empty_like(h)
     u[1:] = h[:-1]
-    begins = first[:-1][np.diff(first) > 0]
-    u[begins] = START
-    return u, mix(u * MIX_A + h + GOLDEN)
+    u[first[:-1][np.diff(first) > 0]] = START
+    return mix(u * MIX_A + h + GOLDEN)
+
+
+def smoothed(counts: np.ndarray, parent: np.ndarray | None, above: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Interpolated probabilities of a level's units in both classes, and what each class leaves to the level below.
+
+    What is discounted goes to a unit by its parent's probability in the class, dealt among the parent's units by the
+    counts of both classes together; without parents, by the number of classes that know a unit.
+    """
+    both = (counts > 0).sum(axis=0) if parent is None else counts.sum(axis=0)
+    off, total = np.stack([discounts(c) for c in counts]), counts.sum(axis=1, keepdims=True)
+    leave = np.where(total > 0, off.sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
+    shared = both / both.sum() if parent is None else above * (both / np.bincount(parent, both)[parent])
+    return (counts - off) / np.maximum(total, 1) + leave * shared, leave[:, 0]
+
+
+def _look_up(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of x are among the sorted ids, and where these are."""
+    if not len(ids):
+        return np.zeros(len(x), bool), np.zeros(0, np.int64)
+    k = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+    known = ids[k] == x
+    return known, k[known]
 
 
 class ClassModels:
     def __init__(self, texts: list[pa.Array]):
         """``texts``: ordinary and toxic ones."""
-        seen = []
+        sides = []
         for some in texts:
-            columns: list[list[np.ndarray]] = [[] for _ in range(3 + 1 + len(PREFIXES))]
+            columns: list[list[np.ndarray]] = [[] for _ in range(1 + LEVELS)]
             for _, data, offsets in text_chunks(some.unique()):
                 low, starts, ends, h, first = words(data, offsets, ALNUM)
-                u, p = _pairs(h, first)
-                before = np.empty_like(p)
-                before[1:] = p[:-1]
+                pair = pairs(h, first)
+                before = np.empty_like(pair)
+                before[1:] = pair[:-1]
                 before[first[:-1][np.diff(first) > 0]] = START
-                for column, x in zip(columns, (mix(before * MIX_B + h), p, u, *units(low, starts, ends, h)), strict=True):
+                for column, x in zip(columns, (mix(before * MIX_B + h), pair, *units(low, starts, ends, h)), strict=True):
                     column.append(x)
-            seen.append([np.concatenate(c) if c else np.zeros(0, np.uint64) for c in columns])
+            seen, *level = (np.concatenate(c) if c else np.zeros(0, np.uint64) for c in columns)
+            # a pair counts by the different words before it, every other level by the different units of the level before
+            chain = []
+            for k in range(LEVELS):
+                once = np.unique(seen, return_index=True)[1]
+                level = [x[once] for x in level]
+                seen = level[k]
+                chain.append((seen, level[k + 1] if k + 1 < LEVELS else seen))
+            sides.append(chain)
+        #: Per level, its units and each one's log-likelihood ratio; and what units that only later levels know add.
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        sides = []
-        for t, p, u, *unit in seen:
-            once = np.unique(t, return_index=True)[1]  # what follows the same two words counts once
-            p, at, count = np.unique(p[once], return_index=True, return_counts=True)
-            at = once[at]
-            sides.append((p, count, u[at], [x[at] for x in unit]))
-        # from the shortest prefix up: probabilities of each class, and what both classes together say of a unit given its parent
-        below: tuple | None = None
-        for level in range(len(PREFIXES), -1, -1):
-            found = [np.unique(s[3][level], return_counts=True) for s in sides]
-            ids, at = np.unique(np.concatenate([s[3][level] for s in sides]), return_index=True)
-            counts = np.zeros((2, len(ids)))
-            for c, (x, n) in enumerate(found):
-                counts[c, np.searchsorted(ids, x)] = n
-            both, total = counts.sum(axis=0), np.maximum(counts.sum(axis=1, keepdims=True), 1)
-            off = discounts(counts, WORD_DISCOUNT)
-            leave = off.sum(axis=1, keepdims=True) / total
-            leave[leave == 0] = 1
-            if below is None:
-                base = np.broadcast_to(both / max(1.0, both.sum()), counts.shape)
-            else:
-                parent = np.searchsorted(below[0], np.concatenate([s[3][level + 1] for s in sides])[at])
-                base = below[1][:, parent] * both / below[2][parent]
-            probability = (counts - off) / total + leave * base
-            self.levels.insert(0, (ids, np.log(probability[1] / probability[0]).astype(np.float32)))
-            below = (ids, probability, both)
-        ids, probability = below[0], below[1]
-        pairs, at = np.unique(np.concatenate([s[0] for s in sides]), return_index=True)
-        u, v = (np.concatenate(x)[at] for x in ([s[2] for s in sides], [s[3][0] for s in sides]))
-        contexts = np.unique(u)
-        iu, iv = np.searchsorted(contexts, u), np.searchsorted(ids, v)
-        ratio, leave = np.zeros(len(pairs)), []
-        for sign, (p, count, u_c, _), p_v in zip((-1, 1), sides, probability, strict=True):
-            k = np.searchsorted(contexts, u_c)
-            off = discounts(count, PAIR_DISCOUNT)
-            tokens = np.bincount(k, weights=count, minlength=len(contexts))
-            gamma = np.where(tokens > 0, np.bincount(k, weights=off, minlength=len(contexts)) / np.maximum(tokens, 1), 1.0)
-            own = np.zeros(len(pairs))
-            own[np.searchsorted(pairs, p)] = count - off
-            ratio += sign * np.log(own / np.maximum(tokens[iu], 1) + gamma[iu] * p_v[iv])
-            leave.append(np.log(gamma))
-        self.contexts, self.leave_ratio = contexts, (leave[1] - leave[0]).astype(np.float32)
-        # pairs for which the models say no more than for the word alone need no entry
-        alone = self.levels[0][1][iv] + self.leave_ratio[iu]
-        keep = np.abs(ratio - alone) > 1e-4
-        self.pairs, self.pair_ratio = pairs[keep], np.clip(ratio[keep], -MOST, MOST).astype(np.float32)
-        self.weights = np.array([0.0, 0.0, 0.0])
+        leaves: list[float] = []
+        below: tuple[np.ndarray, np.ndarray] | None = None
+        for k in range(LEVELS - 1, -1, -1):
+            ids, at = np.unique(np.concatenate([chain[k][0] for chain in sides]), return_index=True)
+            parents = np.concatenate([chain[k][1] for chain in sides])[at]
+            counts = np.stack([np.bincount(np.searchsorted(ids, chain[k][0]), minlength=len(ids)) for chain in sides])
+            above = None if below is None else below[1][:, np.searchsorted(below[0], parents)]
+            probability, leave = smoothed(counts, None if below is None else np.searchsorted(below[0], parents), above)
+            self.levels.insert(0, (ids, np.clip(np.log(probability[1] / probability[0]), -MOST, MOST).astype(np.float32)))
+            leaves.insert(0, float(np.log(leave[1] / leave[0])))
+            below = (ids, probability)
+        self.left = np.concatenate([[0.0], np.cumsum(leaves)]).astype(np.float32)
+        self.weights = np.zeros(2 + len(WINDOWS))
+
+    def ratios(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Each word's log-likelihood ratio, toxic to ordinary, at the first level that knows it."""
+        # words of a shard repeat: each is looked up once below the level of pairs
+        distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        word, wait = np.full(len(distinct), self.left[-1], np.float32), np.arange(len(distinct))
+        for (ids, ratios), left, unit in zip(self.levels[1:], self.left[1:-1], units(low, starts[at], ends[at], distinct), strict=True):
+            known, found = _look_up(ids, unit[wait])
+            word[wait[known]] = ratios[found] + left
+            wait = wait[~known]
+        out = word[inverse]
+        known, found = _look_up(self.levels[0][0], pairs(h, first))
+        out[known] = self.levels[0][1][found]
+        return out
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
-        """Per text: mean log-likelihood ratio of its words, and that of its TOP most toxic distinct words."""
-        out = np.zeros((len(texts), 2))
+        """Per text: mean log-likelihood ratio of its words, and of its most toxic window of each length; a text shorter
+        than that is one window, filled up with words that say nothing."""
+        out = np.zeros((len(texts), 1 + len(WINDOWS)))
         for begin, data, offsets in text_chunks(texts):
             low, starts, ends, h, first = words(data, offsets, ALNUM)
             if not len(h):
                 continue
-            u, p = _pairs(h, first)
-            # words of a shard repeat: each is looked up once, at the longest level that knows it
-            distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-            word = np.zeros(len(distinct), np.float32)
-            open_ = np.arange(len(distinct))
-            for (ids, ratios), unit in zip(self.levels, units(low, starts[at], ends[at], distinct), strict=True):
-                if len(ids) and len(open_):
-                    k = np.minimum(np.searchsorted(ids, unit[open_]), len(ids) - 1)
-                    known = ids[k] == unit[open_]
-                    word[open_[known]] = ratios[k[known]]
-                    open_ = open_[~known]
-            ratio = np.clip(word, -MOST, MOST)[inverse]
-            if len(self.contexts):
-                distinct = np.append(distinct, START)
-                k = np.minimum(np.searchsorted(self.contexts, distinct), len(self.contexts) - 1)
-                leave = np.where(self.contexts[k] == distinct, self.leave_ratio[k], 0)
-                before = np.concatenate([[len(distinct) - 1], inverse[:-1]])
-                before[first[:-1][np.diff(first) > 0]] = len(distinct) - 1
-                ratio = ratio + leave[before]
-            if len(self.pairs):
-                k = np.minimum(np.searchsorted(self.pairs, p), len(self.pairs) - 1)
-                ratio = np.where(self.pairs[k] == p, self.pair_ratio[k], ratio)
-            total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
+            total = np.concatenate([[0.0], np.cumsum(self.ratios(low, starts, ends, h, first), dtype=np.float64)])
             n = np.diff(first)
             full = np.flatnonzero(n > 0)
-            out[begin + full, 0] = (total[first[1:]] - total[first[:-1]])[full] / n[full]
-            # the most toxic words: the strongest of each text's distinct words
-            strong = np.flatnonzero(ratio > 0.5)
-            text = np.repeat(np.arange(len(n)), n)[strong]
-            by = strong[np.lexsort((h[strong], -ratio[strong], text))]
-            text = np.repeat(np.arange(len(n)), n)[by]
-            new = np.ones(len(by), bool)
-            new[1:] = (h[by][1:] != h[by][:-1]) | (text[1:] != text[:-1])
-            by, text = by[new], text[new]
-            rank = np.arange(len(by)) - np.searchsorted(text, text)
-            top = rank < TOP
-            np.add.at(out, (begin + text[top], 1), ratio[by[top]] / TOP)
+            a, b = first[:-1][full], first[1:][full]
+            out[begin + full, 0] = (total[b] - total[a]) / n[full]
+            stop, least = np.repeat(b, n[full]), np.repeat(a, n[full])
+            for k, window in enumerate(WINDOWS, 1):
+                # windows from each word on; those that would leave their text begin earlier instead
+                end = np.minimum(np.arange(len(h)) + window, stop)
+                start = np.maximum(end - window, least)
+                out[begin + full, k] = np.maximum.reduceat((total[end] - total[start]) / window, a)
         return out
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression with a ridge, by Newton steps that are halved until they help."""
         z = np.column_stack([np.ones(len(x)), x])
-        ridge = np.array([1e-3, 1.0, 1.0])
+        ridge = np.array([1e-3, *[1.0] * x.shape[1]])
 
         def loss(w: np.ndarray) -> float:
             m = z @ w
             return float(np.logaddexp(0, m).sum() - y @ m + (ridge * w * w).sum() / 2)
 
-        w = np.zeros(3)
+        w = np.zeros(z.shape[1])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from loomtrace.llm import decontaminate, htmltext, jaccard, langid, licenses, mixing, pii, toxicity, vectors, warc
@@ -349,7 +350,7 @@ def test_copies_of_a_page_are_one_page(spark):
 
 
 def test_words_alone_never_lose_the_page():
-    none = frozenset()
+    none = {}
     story = "<article><h1>Title</h1><p>Story</p><div class=share>Share</div></article>"
     for wrapped in ("<div class='elementor-widget-container'>{}</div>", "<div id='modal-root'><div class='with-sidebar'>{}</div></div>"):
         assert htmltext.text_of(f"<body><p>Top</p>{wrapped.format(story)}<div class=comments><article>reader</article></div></body>", none) == "Title Story"
@@ -368,6 +369,79 @@ def test_importance_overrules_words(spark):
     assert {x.page_id: x[name].text for x in found.collect()} == {k: f"Story {k} of the page {k} By {k}" for k in range(20)}
 
 
+def plain_importance(pages):
+    """(presentation, content, pages) of each (host, path), by the definitions."""
+    import math
+    from collections import defaultdict
+
+    shown, contents = defaultdict(dict), defaultdict(lambda: defaultdict(set))
+    for host, page in {(htmltext.host_of(u), h) for _, u, h in pages if h}:
+        root = htmltext.parse(page)
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            kids = [x for x in node.children if not isinstance(x, str)]
+            shown[host, node.path].setdefault(page, set()).add(" ".join(dict.fromkeys(x.tag for x in kids)))
+            todo += kids
+        for node, _, text in htmltext.blocks(root):
+            contents[host, node.path][text].add(page)
+    out = {}
+    for key, by_page in shown.items():
+        styles = defaultdict(int)
+        for seen in by_page.values():
+            for x in seen:
+                styles[x] += 1
+        m = sum(styles.values())
+        entropy = -sum(n / m * math.log(n / m, m) for n in styles.values()) if m > 1 else 1.0
+        texts_ = contents.get(key, {})
+        content = 1 - sum(math.log(len(x), max(m, 2)) for x in texts_.values()) / len(texts_) if texts_ else 0.0
+        out[key] = (entropy, content, m)
+    return out
+
+
+def test_importance_matches_its_definition(spark):
+    r = random.Random(8)
+    rows = [(k, f"http://h{r.randrange(2)}.org/{k}", "<body><div class=a><p>same</p>" + "<p>one of few {}</p>".format(r.randrange(4)) + "</div>" + "".join(f"<section><h2>{r.randrange(9)}</h2><p>story {k}</p></section>" for _ in range(r.randint(0, 3))) + "<div class=b>" + r.choice(["<ul><li>x</ul>", "<p>y", ""]) + "</div></body>") for k in range(40)]
+    rows += rows[:6] + [(90, None, "<p>alone"), (91, "http://h0.org/e", ""), (92, "http://h0.org/n", None)]
+    got = {(x.host, x.path): (x.presentation, x.content, x.pages) for x in htmltext.site_style_tree(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    want = plain_importance(rows)
+    assert got.keys() == want.keys()
+    for key, x in want.items():
+        np.testing.assert_allclose(got[key], x, atol=1e-9)
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<article>{}</article>"])
+def test_whole_branches_go_with_and_without_article(spark, wrap):
+    # what repeats carries no telling tag, class or id, and lies in nested branches
+    page = wrap.format("<div class=q1><div><p>More from this site</p><div><p>Top ten lists</p><span>of all time</span></div></div></div><h1>Head {0}</h1><div class=q2><p>Story {0} of {0}</p><div class=q3><p>Read on in our app</p></div><p>End {0}</p></div>")
+    pages = frame(spark, [(k, f"http://a.org/{k}", page.format(k)) for k in range(20)], "page_id long, url string, html string")
+    found, name = htmltext.extract(pages)
+    assert {x.page_id: x[name].text for x in found.collect()} == {k: f"Head {k} Story {k} of {k} End {k}" for k in range(20)}
+    assert htmltext.text_of(page.format(1), {}) != "Head 1 Story 1 of 1 End 1"
+
+
+def test_parsing_time_follows_the_length():
+    import time
+
+    for page in ("<div class=x>" * 4000 + "end", '<a b="' * 6000 + "end", "<b>" * 4000 + "</p>" * 4000 + "end", "<script>" + "</script " * 6000, "<b>" * 3000 + "<h1>end" * 3000):
+        took = []
+        for n in (1, 4):
+            start = time.process_time()
+            htmltext.text_of(page * n, {})
+            took.append(time.process_time() - start)
+        assert took[1] < 10 * took[0] + 0.5
+    assert htmltext.text_of('<p title="a > b">One</p><p title="open>Two</p><p>Three</p>', {}) == "One Two Three"
+
+
+def test_page_edges(spark):
+    rows = [(1, "http://a.org/", "<p>x</p>", "m"), (1, "http://a.org/", "<p>x</p>", "m"), (None, None, None, None), (3, "http://a.org/3", "<p>" + "word " * 200_000, "n")]
+    found, name = htmltext.extract(frame(spark, rows, "page_id long, url string, html string, main string"))
+    got = [len(x[name].text) for x in found.select("page_id", f"{name}").collect()]
+    assert sorted(got) == [0, 1, 1, 999_999] and name != "main"
+    empty, name = htmltext.extract(frame(spark, [], "page_id long, url string, html string"))
+    assert empty.count() == 0
+
+
 # --------------------------------------------------------------------------- toxicity
 def test_toxicity_on_held_out_texts(spark):
     r = random.Random(7)
@@ -391,6 +465,78 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.train(docs, marks.where("toxic = 0")) is None
 
 
+def plain_models(classes):
+    """Kneser-Ney by dictionaries: each word's log-likelihood ratio after the word before it."""
+    import math
+    from collections import Counter
+
+    parts = lambda t: [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))]
+    up = [lambda x: x[1], lambda x: x[:6], lambda x: x[:4]]  # from a pair to its word, from a word to its prefixes
+    sides = []
+    for some in classes:
+        triples = {x for t in some for w in [[None, b"", *parts(t)]] for x in zip(w, w[1:], w[2:])}
+        levels = [Counter((p, w) for _, p, w in triples)]
+        for f in up:
+            levels.append(Counter(f(x) for x in levels[-1]))
+        sides.append(levels)
+    tables, leaves = [None] * 4, [0.0] * 4
+    for k in (3, 2, 1, 0):
+        ids = sorted(sides[0][k].keys() | sides[1][k].keys())
+        counts = np.array([[s[k][x] for x in ids] for s in sides])
+        off, total = np.stack([toxicity.discounts(c) for c in counts]), counts.sum(axis=1)
+        leave = off.sum(axis=1) / total
+        both = dict(zip(ids, (counts > 0).sum(axis=0) if k == 3 else counts.sum(axis=0)))
+        share = Counter()
+        for x in ids:
+            share[None if k == 3 else up[k](x)] += both[x]
+        parent = lambda x, c, k=k: 1.0 if k == 3 else tables[k + 1][up[k](x)][c]
+        tables[k] = {x: [(counts[c, i] - off[c, i]) / total[c] + leave[c] * parent(x, c) * both[x] / share[None if k == 3 else up[k](x)] for c in (0, 1)] for i, x in enumerate(ids)}
+        leaves[k] = math.log(leave[1] / leave[0])
+
+    def ratios(t):
+        out, w = [], [b"", *parts(t)]
+        for x in zip(w, w[1:]):
+            left = 0.0
+            for k in range(4):
+                if x in tables[k]:
+                    left += float(np.clip(math.log(tables[k][x][1] / tables[k][x][0]), -toxicity.MOST, toxicity.MOST))
+                    break
+                left += leaves[k]
+                x = up[k](x) if k < 3 else x
+            out.append(left)
+        return out
+
+    return ratios
+
+
+def test_models_match_plain_kneser_ney():
+    r = random.Random(3)
+    vocabulary = ["ab", "abc", "abcdef", "abcdefg", "abcdefh", "bad", "badly", "Straße", "x1", "y", "z"]
+    classes = [[" ".join(r.choice(vocabulary[c * 2 :]) for _ in range(r.randint(1, 12))) for _ in range(60)] for c in (0, 1)]
+    models, plain = toxicity.ClassModels([pa.array(c) for c in classes]), plain_models(classes)
+    tests = [*classes[0][:5], *classes[1][:5], "new abcdefz bad bad", "", " ".join(["bad"] * 3000)]
+    got = models.evidence(pa.array(tests))
+    for t, e in zip(tests, got):
+        x = np.array(plain(t))
+        want = [x.mean() if len(x) else 0.0]
+        for n in toxicity.WINDOWS:
+            want.append(max(x[i : i + n].sum() for i in range(max(1, len(x) - n + 1))) / n if len(x) else 0.0)
+        np.testing.assert_allclose(e, want, atol=1e-4)
+    pairs = toxicity.discounts(np.array([1, 1, 1, 2, 2, 3, 9]))
+    assert (pairs <= [1, 1, 1, 2, 2, 3, 9]).all() and (pairs > 0).all()
+
+
+def test_toxicity_edges(spark):
+    rows = [(k, ("bad " if k % 3 == 0 else "fine ") * 3 + f"w{k % 7}") for k in range(60)] + [(1, "fine"), (None, None), (61, ""), (62, "bad " * 50_000)]
+    docs = frame(spark, [(k, t, 1) for k, t in rows], "doc_id long, text string, toxicity int")
+    models = toxicity.train(docs, frame(spark, [(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int"))
+    found, name = toxicity.score(docs, models)
+    got = found.select("doc_id", "toxicity", f"{name}.score").collect()
+    assert len(got) == len(rows) and all(0 <= x.score <= 1 for x in got) and name != "toxicity"
+    assert toxicity.score(docs.limit(0), models)[0].count() == 0
+    assert toxicity.train(docs.limit(0), frame(spark, [], "doc_id long, toxic int")) is None
+
+
 # --------------------------------------------------------------------------- licences
 def test_licences_match_sql(spark):
     r = random.Random(8)
@@ -465,5 +611,68 @@ def test_archives_match_sql(spark, tmp_path):
 
 
 def test_reversed_host_keys():
-    assert warc.surt("http://www.B.org:80/X?q") == "org,b,www)/x?q"
+    assert warc.surt("http://www.B.org:80/X?q") == "org,b,www)/X?q"
     assert warc.surt(None).startswith(")")
+
+
+def test_archives_roll_by_bytes_and_directory_is_bounded(spark, tmp_path):
+    rows = [(k, "http://hot.org/a" if k % 3 else f"http://h{k}.org/A", f"<p>{'x' * (20 if k % 7 else 5000)}{k % 40}</p>") for k in range(300)] + [(3, "http://hot.org/a", "again")]
+    pages = frame(spark, rows, "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    warc.write_archives(pages, f"{folder}/a", files=((50, 1000), (2, 1 << 20)))
+    sizes = [len(f.read_bytes()) for f in (tmp_path / "w/a").glob("part-*")]
+    assert max(sizes) < 50 * 1600
+    warc.build_index(spark, f"{folder}/a", f"{folder}/i", lines=4, most_blocks=20)
+    index = warc.CaptureIndex(spark, f"{folder}/i")
+    assert len(index.directory.first) <= 20 + 8
+    assert len(index.captures("http://hot.org/a")) == sum(u == "http://hot.org/a" for _, u, _ in rows)
+    assert index.captures("http://h3.org/a") == [] != index.captures("http://h3.org/A")
+    some = warc.lookup(frame(spark, [("http://hot.org/a",), ("http://hot.org/a",), ("http://none.org/",), (None,)], "url string"), f"{folder}/i")
+    assert sorted(r.page_id for r in some.collect()) == sorted(k for k, u, _ in rows if u == "http://hot.org/a")
+    assert warc.archive(pages.limit(0), str(tmp_path / "e")).count() == 0
+
+
+def _cells(x, threshold=0.93):
+    """Pairs that meet, candidates and links of vectors of one label, cell by cell in every block."""
+    d = x.shape[1]
+    y, met, candidates, links = vectors.rotated(x), 0, 0, set()
+    for b, s in enumerate(vectors.split(d)):
+        members = {}
+        for at, cells, home, _ in vectors._parted(y, s, 0, vectors.radius(threshold, s, d), np.ones(len(x), bool), np.zeros(len(x))):
+            for k, c, own in zip(at.tolist(), map(tuple, cells.tolist()), home.tolist()):
+                members.setdefault(c, ([], []))[0 if own else 1].append(k)
+        for home, probe in members.values():
+            at = np.array(home + probe)
+            cell = vectors.Cell(x[at], b, threshold)
+            for u, v in cell.pairs(np.arange(len(home)), np.arange(len(at)), True):
+                links |= {tuple(sorted(p)) for p in zip(at[u].tolist(), at[v].tolist())}
+            met, candidates = met + cell.met, candidates + cell.candidates
+    return met, candidates, links
+
+
+def test_blocks_leave_few_candidates_and_structure_prunes_cells():
+    r = np.random.default_rng(4)
+    base = r.normal(size=(1500, 32))
+    x = np.concatenate([base, base[:200] + r.normal(size=(200, 32)) * 0.05])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = {(i, j) for i, j in np.argwhere(np.triu(unit @ unit.T >= 0.93, 1)).tolist()}
+    met, candidates, links = _cells(x)
+    assert links == true and candidates <= 50 * len(true)
+    # vectors near a few directions share few cells
+    middle = r.normal(size=(30, 32))
+    near = middle[r.integers(0, 30, 1500)] + r.normal(size=(1500, 32)) * 0.2
+    some, _, links = _cells(near)
+    unit = near / np.linalg.norm(near, axis=1, keepdims=True)
+    assert links == {(i, j) for i, j in np.argwhere(np.triu(unit @ unit.T >= 0.93, 1)).tolist()}
+
+
+@pytest.mark.parametrize("cell", [8, 40])
+def test_crowded_cells_are_parted_and_lose_nothing(spark, monkeypatch, cell):
+    monkeypatch.setattr(vectors, "CELL", cell)
+    r = np.random.default_rng(cell)
+    base = r.normal(size=(40, 9))
+    x = np.concatenate([base, base[r.integers(0, 40, 160)] + r.normal(size=(160, 9)) * 0.1, np.repeat(base[:1], 30, axis=0) + r.normal(size=(30, 9)) * 1e-3])
+    rows = [(k, v.tolist(), int(k % 2)) for k, v in enumerate(x)]
+    got = vectors.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>, label int")).toPandas()
+    want = duck(EMBEDDINGS, embeddings=pd.DataFrame({"vec_id": range(len(x)), "embedding": list(x), "label": [k % 2 for k in range(len(x))]}))
+    same(got, want)

@@ -2,9 +2,14 @@
 
 Unit vectors with cosine c are at squared distance 2-2c.  A fixed rotation spreads that distance over the
 coordinates, which are split into blocks; if the whole squared distance is within budget, at least one block's is
-within its proportional share.  Each block is range-joined on a grid of its first coordinates whose cells are as wide
-as the block's radius, and a pair is taken in the first block that qualifies, so nothing is counted twice.  The
-union of the candidates is verified by cosine in double precision.
+within its proportional share.  Each block is range-joined on a grid of its first coordinates, whose cells are as wide
+as the block's radius: a vector is at home in one cell and a probe in those later ones that its ball reaches.
+Cells that hold too many vectors are parted by the block's next coordinates, again by reach.  A pair is taken in the
+first block that qualifies, so nothing is counted twice, and the union of the candidates is verified by the cosine of
+the vectors as they were given, in double precision.
+
+Vectors without any structure fill so few cells of a block that most pairs of a label meet in some cell; there the
+join costs one small matrix product a block, and it is the block's budget that leaves few pairs to verify.
 """
 
 from __future__ import annotations
@@ -18,11 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut, maybe_broadcast, small_batches
+from .common import components, cut, in_batches, maybe_broadcast
 
+#: Blocks of a vector, coordinates of a block that one level of its grid takes, and slack for rounding.
 BLOCKS, GRID, SLACK = 4, 2, 1e-9
-#: Vectors that one task compares at once; larger cells are dealt out as pairs of chunks.
-CELL = 4096
+#: Vectors of a cell that one task compares; larger cells are parted further, and dealt out as pairs of chunks where a
+#: block has no coordinates left.
+CELL = 16384
+#: Rows of a matrix of distances that are looked at together.
+ROWS = 512
 
 
 @lru_cache
@@ -36,86 +45,170 @@ def split(d: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no cosine, so that no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def rotated(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1 and rotated; scaled by the largest part first, so that no square over- or underflows."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(x.shape[1])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(b, np.float64) for b in column.to_pylist()])
+def pack(v: list[float]) -> bytes:
+    """A vector's bytes, in single precision where that loses nothing."""
+    x = np.asarray(v, np.float64)
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return b"\x04" + small.tobytes() if np.array_equal(small, x) else b"\x08" + x.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.float32 if b[0] == 4 else np.float64, offset=1).astype(np.float64)
+
+
+CELLS = "cell string, node bigint, copies bigint, home boolean, used double, vec binary"
 
 
-def _cells(budget: float, whole: bool):
-    """Each vector at home in its cell of every block, and as a probe in the neighbouring cells that follow."""
+def _parted(y: np.ndarray, block: slice, level: int, width: float, home: np.ndarray, used: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, cells, home, squared distance from each row to the cell) of one level of a block's grid: the own cell and
+    the neighbours that a row's ball reaches, for a row at home only later ones."""
+    part = y[:, block][:, level * GRID : (level + 1) * GRID] / width
+    own = np.floor(part).astype(np.int64)
+    below = part - own
+    zero = (0,) * own.shape[1]
+    for off in product((-1, 0, 1), repeat=own.shape[1]):
+        gap = sum((np.square((below if o < 0 else 1 - below)[:, k]) for k, o in enumerate(off) if o), np.zeros(len(y))) * width * width + used
+        ok = gap <= width * width
+        if off < zero:
+            ok &= ~home
+        at = np.flatnonzero(ok)
+        if len(at):
+            yield at, own[at] + off, home[at] & (off == zero), gap[at]
+
+
+def _cells(threshold: float, whole: bool):
+    """Each vector in the cells of the first level of every block; just the cells' names unless ``whole``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy()
-            vec, label = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            vec = [np.asarray(v, np.float64) for v in vec]
+            node, label, vec = batch.column(0).to_numpy(), batch.column(3).to_pylist(), batch.column(1).to_pylist()
             size = np.array([len(v) for v in vec])
-            rows, cells, home = [], [], []
+            packed = pa.array([pack(v) for v in vec], pa.binary())
             for d in np.unique(size).tolist():
-                at = np.flatnonzero(size == d)
-                y = rotated(np.stack([vec[k] for k in at.tolist()]))
+                here = np.flatnonzero(size == d)
+                y = rotated(np.array([vec[k] for k in here.tolist()], np.float64))
                 for b, s in enumerate(split(d)):
-                    width = np.sqrt(budget * (s.stop - s.start) / d) * (1 + 1e-6) + 1e-6
-                    grid = np.floor(y[:, s][:, :GRID] / width).astype(int)
-                    zero = (0,) * grid.shape[1]
-                    for off in product((-1, 0, 1), repeat=grid.shape[1]):
-                        if off < zero:
+                    for at, cells, home, used in _parted(y, s, 0, radius(threshold, s, d), np.ones(len(y), bool), np.zeros(len(y))):
+                        names = [f"{d}:{b}:0:{label[k]}:{':'.join(map(str, c))}" for k, c in zip(here[at].tolist(), cells.tolist(), strict=True)]
+                        if not whole:
+                            yield pa.RecordBatch.from_arrays([pa.array(names)], ["cell"])
                             continue
-                        for k, c in zip(at.tolist(), (grid + off).tolist(), strict=True):
-                            rows.append(k)
-                            cells.append(f"{d}:{b}:{':'.join(map(str, c))}:{label[k]}")
-                            home.append(off == zero)
-            out = [pa.array(cells, pa.string())]
-            if whole:
-                packed = pa.array([v.tobytes() for v in vec], pa.binary())
-                at = pa.array(rows, pa.int64())
-                out += [pa.array(node[rows] if rows else [], pa.int64()), batch.column(2).take(at), pa.array(home, pa.bool_()), packed.take(at)]
-            yield pa.RecordBatch.from_arrays(out, ["cell", "node", "copies", "home", "vec"][: len(out)])
+                        rows = pa.array(here[at])
+                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(node[here[at]]), batch.column(2).take(rows), pa.array(home), pa.array(used), packed.take(rows)], ["cell", "node", "copies", "home", "used", "vec"])
+
+    return run
+
+
+def radius(threshold: float, block: slice, d: int) -> float:
+    return float(np.sqrt((2 - 2 * threshold) * (block.stop - block.start) / d) * (1 + 1e-6) + 1e-6)
+
+
+def _deeper(threshold: float):
+    """Members of cells that hold too many, in the cells of the next level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, vec = batch.column(0).to_pylist(), batch.column(5).to_pylist()
+            plan = [tuple(map(int, c.split(":", 3)[:3])) for c in cell]
+            for d, b, level in sorted(set(plan)):
+                here = np.array([k for k, p in enumerate(plan) if p == (d, b, level)])
+                y = rotated(np.stack([unpack(vec[k]) for k in here.tolist()]))
+                s = split(d)[b]
+                home, used = batch.column(3).to_numpy(zero_copy_only=False)[here], batch.column(4).to_numpy()[here]
+                for at, cells, own, gap in _parted(y, s, level + 1, radius(threshold, s, d), home, used):
+                    names = [f"{d}:{b}:{level + 1}:{cell[k].split(':', 3)[3]}:{':'.join(map(str, c))}" for k, c in zip(here[at].tolist(), cells.tolist(), strict=True)]
+                    rows = pa.array(here[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(names), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(own), pa.array(gap), batch.column(5).take(rows)], ["cell", "node", "copies", "home", "used", "vec"])
 
     return run
 
 
+def _merge(low: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Components, as the least member of each, after u and v are joined."""
+    while len(u):
+        least = np.minimum(low[u], low[v])
+        new = low.copy()
+        for at in (low[u], low[v], u, v):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if np.array_equal(new, low):
+            break
+        low = new
+        apart = low[u] != low[v]
+        u, v = u[apart], v[apart]
+    return low
+
+
+class Cell:
+    """The vectors of a cell, and its pairs that are within the block's budget."""
+
+    def __init__(self, x: np.ndarray, block: int, threshold: float):
+        self.x, y, d = scaled(x), rotated(x), x.shape[1]
+        self.norm = np.linalg.norm(self.x, axis=1)
+        self.threshold = threshold
+        self.parts = [(np.ascontiguousarray(y[:, s]), (2 - 2 * threshold) * (s.stop - s.start) / d + SLACK) for s in split(d)[: block + 1]]
+        self.met = self.candidates = 0
+
+    def pairs(self, rows: np.ndarray, others: np.ndarray, upper: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links between ``rows`` and ``others``; with ``upper``, rows are the first of others and come once each."""
+        y, share = self.parts[-1]
+        small = y.astype(np.float32)
+        square = np.square(small).sum(axis=1)
+        for a in range(0, len(rows), ROWS):
+            i = rows[a : a + ROWS]
+            j = others[a:] if upper else others
+            near = small[i] @ small[j].T
+            near *= -2
+            near += square[i, None]
+            near += square[None, j]
+            # single precision finds all that may be within budget
+            p, q = np.nonzero(near <= np.float32(share + 1e-5))
+            self.met += len(i) * len(j) - (len(i) * (len(i) + 1) // 2 if upper else 0)
+            if upper:
+                p, q = p[p < q], q[p < q]
+            for k in range(0, len(p), 1 << 16):
+                u, v = i[p[k : k + (1 << 16)]], j[q[k : k + (1 << 16)]]
+                # a pair is taken in the first block that is within budget
+                for n, (z, most) in enumerate(reversed(self.parts)):
+                    within = np.square(z[u] - z[v]).sum(axis=1) <= most
+                    u, v = (u[within], v[within]) if n == 0 else (u[~within], v[~within])
+                self.candidates += len(u)
+                link = np.einsum("ij,ij->i", self.x[u], self.x[v]) / (self.norm[u] * self.norm[v]) >= self.threshold
+                if link.any():
+                    yield u[link], v[link]
+
+
 def _pairs(threshold: float):
     def links(table: pa.Table) -> pa.Table:
-        cell = table.column("cell")[0].as_py()
-        block = int(cell.split(":", 2)[1])
+        block = int(table.column("cell")[0].as_py().split(":", 2)[1])
         node, copies, home, chunk = (table.column(c).to_numpy() for c in ("node", "copies", "home", "chunk"))
-        x = _matrix(table.column("vec").combine_chunks())
-        y = rotated(x)
-        unit = y @ rotation(x.shape[1]).T
-        parts = split(x.shape[1])
-        budget = 2 - 2 * threshold
-        apart = chunk.min() != chunk.max()
-        got, forest = np.zeros(len(node), np.int64), Forest(len(node))
-        norms = [np.square(y[:, s]).sum(axis=1) for s in parts]
-        for a in range(0, len(node), 512):
-            i = slice(a, a + 512)
-            ok = home[i, None] | home[None, :]
-            ok &= (np.arange(len(node))[i, None] < np.arange(len(node))[None, :]) & (node[i, None] != node[None, :])
-            if apart:
-                ok &= chunk[i, None] != chunk[None, :]
-            for b, s in enumerate(parts[: block + 1]):
-                near = norms[b][i, None] + norms[b][None, :] - 2 * (y[i, s] @ y[:, s].T) <= budget * (s.stop - s.start) / x.shape[1] + SLACK
-                ok &= near if b == block else ~near
-            p, q = np.nonzero(ok)
-            for k in range(0, len(p), 1 << 16):
-                u, v = p[k : k + (1 << 16)] + a, q[k : k + (1 << 16)]
-                cos = np.einsum("ij,ij->i", unit[u], unit[v])
-                u, v = u[cos >= threshold], v[cos >= threshold]
-                np.add.at(got, u, copies[v])
-                np.add.at(got, v, copies[u])
-                for m, n in zip(u.tolist(), v.tolist(), strict=True):
-                    forest.join(m, n)
-        root = forest.roots()
-        at, tied = np.flatnonzero(got), np.flatnonzero(root != np.arange(len(root)))
-        both = lambda one, other, t: pa.concat_arrays([one, other]).cast(t)
-        none = lambda n: pa.nulls(n, pa.int64())
-        return pa.table({"node": both(pa.array(node[at], pa.int64()), pa.array(node[tied], pa.int64()), pa.int64()), "links": both(pa.array(got[at], pa.int64()), none(len(tied)), pa.int64()), "other": both(none(len(at)), pa.array(node[root[tied]], pa.int64()), pa.int64())})
+        cell = Cell(np.stack([unpack(b) for b in table.column("vec").to_pylist()]), block, threshold)
+        got, low = np.zeros(len(node), np.int64), np.arange(len(node))
+        at = np.arange(len(node))
+        if chunk.min() == chunk.max():
+            order = np.concatenate([at[home], at[~home]])
+            found = [(order[: int(home.sum())], order, True)]
+        else:
+            one = chunk == chunk.min()
+            found = [(at[one & home], at[~one], False), (at[~one & home], at[one & ~home], False)]
+        for rows, others, upper in found:
+            for u, v in cell.pairs(rows, others, upper):
+                got += np.bincount(u, copies[v], len(got)).astype(np.int64) + np.bincount(v, copies[u], len(got)).astype(np.int64)
+                low = _merge(low, u, v)
+        linked, tied = np.flatnonzero(got), np.flatnonzero(low != at)
+        column = lambda one, other: pa.concat_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())])
+        return pa.table({"node": column(node[linked], node[tied]), "links": column(got[linked], [None] * len(tied)), "other": column([None] * len(linked), node[low[tied]])})
 
     return links
 
@@ -134,11 +227,30 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     node = F.when(usable, F.xxhash64("label", "v"))
     rows = rows.withColumn("node", node)
     reps = cut(rows.where("node IS NOT NULL").groupBy("node", "label", "v").agg(F.count("*").alias("copies")).select("node", "v", "copies", "label"))
-    budget = 2 - 2 * threshold
-    sized = small_batches(reps, rows=512).mapInArrow(_cells(budget, False), "cell string").groupBy("cell").agg(F.count("*").alias("n"))
-    big = cut(sized.where(F.col("n") > CELL).select("cell", F.ceil(F.col("n") / F.lit(CELL)).cast("int").alias("s")))
-    cells = small_batches(reps, rows=512).mapInArrow(_cells(budget, True), "cell string, node bigint, copies bigint, home boolean, vec binary")
-    dealt = cells.join(maybe_broadcast(big, 80), "cell", "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+    # making cells anew costs less than writing every vector once more just to count them
+    cells = in_batches(reps, _cells(threshold, True), CELLS, rows=256)
+    named = in_batches(reps, _cells(threshold, False), "cell string", rows=256)
+    ready: list[DataFrame] = []
+    while True:
+        # cells that hold too many are parted by the next coordinates, as long as their block has any
+        big = cut(named.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL).withColumn("s", F.ceil(F.col("n") / F.lit(CELL)).cast("int")))
+        part = F.split("cell", ":")
+        d, block, level = (part[k].cast("int") for k in range(3))
+        blocks = F.least(F.lit(BLOCKS), d)
+        wide = F.floor((block + 1) * d / blocks) - F.floor(block * d / blocks)
+        more = cut(big.where((level + 1) * GRID < wide))
+        if more.isEmpty():
+            ready.append(cells.join(maybe_broadcast(big.select("cell", "s"), 96), "cell", "left"))
+            break
+        shared = maybe_broadcast(more.select("cell"), 96)
+        rest = cells.join(shared, "cell", "left_anti")
+        ready.append(rest.join(maybe_broadcast(big.join(more, "cell", "left_anti").select("cell", "s"), 96), "cell", "left"))
+        cells = cut(in_batches(cells.join(shared, "cell", "left_semi").select("cell", "node", "copies", "home", "used", "vec"), _deeper(threshold), CELLS, rows=1024))
+        named = cells
+    dealt = ready[0]
+    for x in ready[1:]:
+        dealt = dealt.unionByName(x)
+    dealt = dealt.withColumn("s", F.coalesce("s", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
     dealt = dealt.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.least("chunk", j) * F.col("s") + F.greatest("chunk", j))))
     found = cut(dealt.select("cell", "pair", "node", "copies", "home", "vec", "chunk").groupBy("cell", "pair").applyInArrow(_pairs(threshold), "node bigint, links bigint, other bigint"))
     tied = components(found.where("other IS NOT NULL"), "node", "other")

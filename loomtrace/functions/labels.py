@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +22,13 @@ FAMILIES = {
     "search": r"^(grep|rg|ag|ack|find|fd|ls|tree|cat|head|tail|sed -n|wc|less|more|file|stat|du|awk|bat|nl|pwd|which|jq)\b",
     "run": r"^(python3?|uv run|node|deno|bun|npx|\./|bash|sh|zsh|ruby|go run|cargo run|(npm|yarn|pnpm) (start|run)|curl|wget|docker|sqlite3)\b",
 }
+#: What comes before a command without being one, and what parts commands.
 SETUP = r"^((cd|export|source|set|ulimit)\b[^&;|]*|[A-Z_][A-Z0-9_]*=\S*\s+|timeout\s+\d+\s+|time\s+|env\s+(\S+=\S+\s+)*)"
 
 
+PARTED = r"\s*(?:&&|\|\||;|\||\n)\s*"
+
+
 def file_kind(path: Column) -> Column:
     """test, config, docs, src or other."""
     clean = F.regexp_replace(F.trim(path), r"^['\"]+|['\"]+$", "")
@@ -40,10 +42,12 @@ def file_kind(path: Column) -> Column:
 
 
 def command_parts(command: Column) -> Column:
-    """The commands of a script in order, without set-up prefixes (six of them at most)."""
-    strip = lambda x: F.trim(F.regexp_replace(x, SETUP, ""))
-    part = lambda x: reduce(lambda y, _: strip(y), range(6), F.trim(F.regexp_replace(F.trim(x), r"^\(+", "")))
-    return F.filter(F.transform(F.split(F.trim(command), r"\s*(?:&&|\|\||;|\||\n)\s*"), part), lambda x: x != "")
+    """The commands of a script in order, without set-up prefixes, however many there are."""
+    bare = lambda x: F.trim(F.regexp_replace(F.trim(x), r"^\(+", ""))
+    # one set-up prefix after another, with the white space between them
+    prefixes = f"^(?:{SETUP.removeprefix('^')}\\s*)+"
+    part = lambda x: F.trim(F.regexp_replace(bare(x), prefixes, ""))
+    return F.filter(F.transform(F.split(F.trim(command), PARTED), part), lambda x: x != "")
 
 
 def part_family(part: Column) -> Column:

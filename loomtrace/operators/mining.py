@@ -199,14 +199,16 @@ def loop_table(instances: DataFrame) -> DataFrame:
     return base.join(curve, "cycle", "left").withColumn("trend", trend)
 
 
-def prefixspan(seqs: DataFrame, support: float = 0.03, longest: int = 4, limit: int = 2000, cap: int = 150) -> DataFrame:
-    """Frequent subsequences (gaps allowed) of at most ``longest`` states: pattern, support."""
+def prefixspan(seqs: DataFrame, support: float = 0.03, longest: int = 4, limit: int | None = None, cap: int | None = None) -> DataFrame:
+    """Frequent subsequences (gaps allowed) of at most ``longest`` states: pattern, support.  ``cap`` looks at the first
+    states of each case only, ``limit`` returns the most frequent patterns only; by default neither applies."""
     from pyspark.ml.fpm import PrefixSpan
 
-    items = seqs.select(F.transform(F.slice("names", 1, cap), lambda x: F.array(x)).alias("sequence"))
+    names = F.slice("names", 1, cap) if cap else F.col("names")
+    items = seqs.select(F.transform(names, lambda x: F.array(x)).alias("sequence"))
     found = PrefixSpan(minSupport=support, maxPatternLength=longest, maxLocalProjDBSize=32_000_000).findFrequentSequentialPatterns(items)
     flat = found.where(F.forall("sequence", lambda s: F.size(s) == 1)).select(F.flatten("sequence").alias("pattern"), F.col("freq").alias("support"))
-    return flat.orderBy(F.desc("support"), F.size("pattern"), "pattern").limit(limit)
+    return flat.orderBy(F.desc("support"), F.size("pattern"), "pattern").limit(limit) if limit else flat
 
 
 def closed(patterns: DataFrame) -> DataFrame:

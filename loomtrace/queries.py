@@ -411,10 +411,10 @@ def mode_table(spark, d):
 PAIRS = "WITH p AS (SELECT l_partkey AS task, p_brand AS family, CASE l_linestatus WHEN 'F' THEN 'A' ELSE 'B' END AS arm, row_number() OVER (PARTITION BY l_partkey, l_linestatus ORDER BY l_orderkey, l_linenumber) AS rep, l_discount * 10 AS score FROM lineitem JOIN part ON l_partkey = p_partkey), d AS (SELECT a.family, a.task, avg(b.score - a.score) AS difference FROM p a JOIN p b ON a.task = b.task AND a.rep = b.rep AND a.arm = 'A' AND b.arm = 'B' GROUP BY ALL)"
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
+def _records(spark: SparkSession, d: str, family: str = "p_brand") -> DataFrame:
     l, p = bridge.read(spark, d, "lineitem"), bridge.read(spark, d, "part")
     rep = F.row_number().over(Window.partitionBy("l_partkey", "l_linestatus").orderBy("l_orderkey", "l_linenumber"))
-    return l.withColumn("repetition", rep).join(p, l.l_partkey == p.p_partkey).select(F.col("l_partkey").alias("task"), F.col("p_brand").alias("family"), F.when(F.col("l_linestatus") == "F", "A").otherwise("B").alias("arm"), "repetition", (F.col("l_discount") * 10).alias("score"))
+    return l.withColumn("repetition", rep).join(p, l.l_partkey == p.p_partkey).select(F.col("l_partkey").alias("task"), F.col(family).alias("family"), F.when(F.col("l_linestatus") == "F", "A").otherwise("B").alias("arm"), "repetition", (F.col("l_discount") * 10).alias("score"))
 
 
 @query("st_task_differences", f"{PAIRS} SELECT family, task, round(difference, 6) + 0 AS difference FROM d")
@@ -427,15 +427,19 @@ def family_delta(spark, d):
     return statistics.family_differences(_records(spark, d)).withColumn("difference", F.round("difference", 6))
 
 
-@query("st_sign_flip_exact", f"{PAIRS}, f AS (SELECT family, avg(difference) AS v, row_number() OVER (ORDER BY family) - 1 AS i FROM d GROUP BY family ORDER BY family LIMIT 10), s AS (SELECT m, sum(CASE WHEN (m >> i) & 1 = 1 THEN -v ELSE v END) AS t FROM range(1024) r(m), f GROUP BY m) SELECT round(avg((abs(t) >= (SELECT abs(sum(v)) FROM f) - 1e-12)::INT), 6) AS p FROM s")
+TYPES = PAIRS.replace("p_brand AS family", "p_type AS family")
+
+
+@query("st_sign_flip_exact", f"{TYPES}, f AS (SELECT family, avg(difference) AS v, row_number() OVER (ORDER BY family) - 1 AS i FROM d GROUP BY family), s AS (SELECT m, sum(CASE WHEN (m >> i) & 1 = 1 THEN -v ELSE v END) AS t FROM range(1 << (SELECT count(*) FROM f)::INT) r(m), f GROUP BY m) SELECT round(avg((abs(t) >= (SELECT abs(sum(v)) FROM f) - 1e-12)::INT), 6) AS p FROM s")
 def sign_flip(spark, d):
-    values = [r.difference for r in statistics.family_differences(_records(spark, d)).orderBy("family").limit(10).collect()]
+    """Families are the types of parts: few enough for all sign patterns."""
+    values = [r.difference for r in statistics.family_differences(_records(spark, d, "p_type")).orderBy("family").collect()]
     return statistics.sign_flip_exact(spark, values).select(F.round("p", 6).alias("p"))
 
 
 @query("st_sign_flip")
-def sign_flip_all(spark, d):
-    """Over all families; the SQL of st_sign_flip_exact has the first ten only."""
+def sign_flip_sampled(spark, d):
+    """Families are the brands: too many for all sign patterns, so they are drawn."""
     values = [r.difference for r in statistics.family_differences(_records(spark, d)).orderBy("family").collect()]
     return spark.createDataFrame([(len(values), round(statistics.sign_flip(spark, values), 6))], "families long, p double")
 
@@ -465,14 +469,8 @@ def command_family(spark, d):
     return bridge.read(spark, d, "events").select("event_id", labels.command_family(command).alias("family"))
 
 
-@query("f_word_counts", r"SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))::BIGINT AS words FROM documents WHERE lang IN ('en')")
+@query("f_word_counts", r"SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))::BIGINT AS words FROM documents")
 def word_counts(spark, d):
-    return bridge.read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(word_tokens(F.col("text"))).cast("bigint").alias("words"))
-
-
-@query("f_word_counts_all")
-def word_counts_all(spark, d):
-    """Of every document; the SQL of f_word_counts has the English ones only."""
     return bridge.read(spark, d, "documents").select("doc_id", F.size(word_tokens(F.col("text"))).cast("bigint").alias("words"))
 
 
@@ -500,11 +498,32 @@ graph("g_path_pattern", 'path:"error -> view ->> purchase" select:walk', f"{DAY}
 graph("g_path_anchored", 'path:"^START -> !error -> cl*" select:walk', f"{DAY} SELECT case_id AS walk_id FROM q WHERE names[2] <> 'error' AND starts_with(names[3], 'cl')", "walk_id")
 graph("g_edge_term", 'edge:"error -> *" select:edge', f"{DAY} SELECT DISTINCT source, target FROM t WHERE source = 'error'", "source", "target")
 graph("g_numeric_property", "node.visits>1000 select:node", f"{DAY} SELECT name AS node_id FROM (SELECT unnest(names) AS name FROM q) GROUP BY name HAVING count(*) > 1000", "node_id")
-graph("g_boolean_walks", 'label:signup -label:error outcome:completed select:walk', f"{DAY} SELECT case_id AS walk_id FROM q WHERE list_contains(names, 'signup') AND NOT list_contains(names, 'error') AND outcome = 'completed'", "walk_id")
-graph("g_walk_length", "walk.steps>=9 select:walk", f"{DAY} SELECT case_id AS walk_id FROM q WHERE len(names) >= 9", "walk_id")
+graph("g_boolean_walks", 'label:sign -label:rro outcome:completed select:walk', f"{DAY} SELECT case_id AS walk_id FROM q WHERE len(list_filter(names, lambda x: contains(lower(x), 'sign'))) > 0 AND len(list_filter(names, lambda x: contains(lower(x), 'rro'))) = 0 AND outcome = 'completed'", "walk_id")
+graph("g_walk_length", "steps>=9 select:walk", f"{DAY} SELECT case_id AS walk_id FROM q WHERE len(names) >= 9", "walk_id")
+graph("g_session_prefix", "session:12 label:/^(view|END:.*)$/ select:walk", f"{DAY} SELECT case_id AS walk_id FROM q WHERE starts_with(case_id, '12')", "walk_id")
+graph("g_failed_outcome", "outcome:failed case:1 select:walk", f"{DAY} SELECT case_id AS walk_id FROM q WHERE outcome IN ('failed', 'abandoned', 'user_aborted', 'error', 'branch_abandoned') AND starts_with(case_id, '1')", "walk_id")
+graph("g_path_open_ends", 'path:"^ ->> signup ->> $" -path:"^START -> view ->> $" select:walk', f"{DAY} SELECT case_id AS walk_id FROM q WHERE list_contains(names, 'signup') AND names[2] <> 'view'", "walk_id")
 graph("g_node_by_walk", "outcome:completed select:node", f"{DAY} SELECT DISTINCT unnest(names) AS node_id FROM q WHERE outcome = 'completed'", "node_id")
-graph("g_loop_iterations", 'loop:"view -> click*2" select:walk', f"{DAY}, x AS (SELECT case_id, '<' || array_to_string(names, '><') || '>' AS s FROM q) SELECT case_id AS walk_id FROM x WHERE contains(s, '<view><click><view><click>') OR contains(s, '<click><view><click><view>')", "walk_id")
-graph("g_reaches", 'reaches:"START ~> END:completed" select:graph', "SELECT 'states' AS graph_id", "graph_id")
+graph("g_loop_iterations", 'loop:"view click" iterations>=2 select:walk', f"{DAY}, x AS (SELECT case_id, '<' || array_to_string(names, '><') || '>' AS s FROM q) SELECT case_id AS walk_id FROM x WHERE contains(s, '<view><click><view><click>') OR contains(s, '<click><view><click><view>')", "walk_id")
+STEPS = "e AS (SELECT (user_id % 50)::VARCHAR AS g, 'v' || floor(value / 10)::BIGINT::VARCHAR AS a, lead('v' || floor(value / 10)::BIGINT::VARCHAR) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), arc AS (SELECT DISTINCT g, a, b FROM e WHERE a < b)"
+
+
+def user_worlds(spark: SparkSession, d: str):
+    """A graph for each of 50 groups of users, of how values rise from event to event: nodes are the values' tens."""
+    from .operators import graphs
+
+    e = bridge.read(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("graph_id"), "user_id", "ts", "event_id", F.concat(F.lit("v"), F.floor(F.col("value") / 10).cast("string")).alias("node_id"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    arcs = e.select("graph_id", F.col("node_id").alias("source"), F.lead("node_id").over(w).alias("target")).where("target IS NOT NULL AND source < target").distinct()
+    empty = lambda t: spark.createDataFrame([], graphs.TABLES[t])
+    return graphs.World(graphs._shaped(e.select("graph_id", F.lit("aeg").alias("kind")).distinct(), "graphs"), graphs._shaped(e.select("graph_id", "node_id", F.col("node_id").alias("label")).distinct(), "nodes"), graphs._shaped(arcs.withColumn("relation", F.lit("next")), "edges"), empty("walks"), empty("occurrences"), empty("annotations"))
+
+
+@query("g_reaches", f"WITH RECURSIVE {STEPS}, reach AS (SELECT g, b AS x FROM arc WHERE a = 'v2' UNION SELECT reach.g, arc.b FROM reach JOIN arc ON arc.g = reach.g AND arc.a = reach.x) SELECT DISTINCT g AS graph_id FROM reach WHERE starts_with(x, 'v2')")
+def reaches(spark, d):
+    from .operators import graphs
+
+    return graphs.query(user_worlds(spark, d), 'reaches:"v2 ~> v2*" select:graph').select("graph_id")
 
 
 @query("g_cross_kind_events", f"{LOG} SELECT id AS event_id FROM e WHERE event_type = 'purchase'")

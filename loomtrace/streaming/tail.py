@@ -1,8 +1,10 @@
 """Incremental ingestion: append-only tails of JSON Lines files, rewrites, availability, and refreshed projections.
 
-The stream source keeps, per file, how far it has read and a digest of what it has read.  A file that shrank or whose
-read part changed starts a new generation: a ``rewritten`` row tells downstream to drop the old one.  An unfinished last
-line waits for the next batch.  The folder must be one that driver and executors share.
+The stream source keeps, per file, how far it has read, its size and time of change, and a digest of the first and last
+block of what it has read.  A file whose size and time are as they were isn't opened; one that shrank or whose
+blocks changed starts a new generation: a ``rewritten`` row tells downstream to drop the old one.  A batch thus costs
+its files' names and what was appended, not their history.  An unfinished last line waits for the next batch.  The
+folder must be one that driver and executors share.
 """
 
 from __future__ import annotations
@@ -29,12 +31,17 @@ class Piece(InputPartition):
         self.path, self.generation, self.start, self.end, self.line, self.rewritten = path, generation, start, end, line, rewritten
 
 
+#: Bytes at either end of the part read that a digest covers.
+BLOCK = 1 << 16
+
+
 def digest(path: str, end: int) -> str:
-    h = hashlib.sha256()
+    """Of the first and the last block of a file's first ``end`` bytes."""
+    h = hashlib.sha256(str(end).encode())
     with open(path, "rb") as f:
-        while end > 0 and (block := f.read(min(1 << 20, end))):
-            h.update(block)
-            end -= len(block)
+        h.update(f.read(min(BLOCK, end)))
+        f.seek(max(0, end - BLOCK))
+        h.update(f.read(min(BLOCK, end)))
     return h.hexdigest()
 
 
@@ -67,11 +74,15 @@ class TailReader(DataSourceStreamReader):
                 if not name.endswith(self.suffix):
                     continue
                 path = os.path.join(folder, name)
+                now = os.stat(path)
+                seen = {"size": now.st_size, "changed": now.st_mtime_ns}
                 was = self.known.get(path, {"generation": 0, "end": 0, "line": 0, "digest": digest(path, 0)})
-                if os.path.getsize(path) < was["end"] or digest(path, was["end"]) != was["digest"]:
+                if all(was.get(k) == v for k, v in seen.items()):
+                    continue
+                if now.st_size < was["end"] or digest(path, was["end"]) != was["digest"]:
                     was = {"generation": was["generation"] + 1, "end": 0, "line": 0}
                 end, count = complete(path, was["end"])
-                out[path] = {"generation": was["generation"], "end": end, "line": was["line"] + count, "digest": digest(path, end)}
+                out[path] = {"generation": was["generation"], "end": end, "line": was["line"] + count, "digest": digest(path, end), **seen}
         # a file that is gone keeps its state: history isn't forgotten
         self.known = {**self.known, **out}
         return {p: json.dumps(s, sort_keys=True) for p, s in self.known.items()}

@@ -13,6 +13,7 @@ from loomtrace.functions import labels, outline, redaction
 from loomtrace.functions.shell import of_call
 from loomtrace.model import EVENT
 from loomtrace.operators import cases, graphs, mining, ratings, sequence, statistics, traversal
+from loomtrace.plans.language import QueryError
 
 
 def events(spark, rows, **fixed):
@@ -176,7 +177,7 @@ def test_closure_ends_on_cycles(spark):
     assert {r.node for r in traversal.closure(spark.createDataFrame([("a",)], "node string"), e).collect()} == {"a", "b", "c"}
 
 
-@pytest.mark.parametrize(("pattern", "labels_", "hit"), [("A -> B", "A B", True), ("A -> B", "A X B", False), ("A ->> B", "A X B", True), ("A ->> B", "A B", True), ("^A", "B A", False), ("B$", "A B", True), ("A -> !B", "A B", False), ("A -> !B", "A C", True), ("A -> B|C", "A C", True), ("TEST*", "test:fail", True), ("* -> *", "A", False)])
+@pytest.mark.parametrize(("pattern", "labels_", "hit"), [("A -> B", "A B", True), ("A -> B", "A X B", False), ("A ->> B", "A X B", True), ("A ->> B", "A B", True), ("^A", "B A", False), ("B$", "A B", True), ("A -> !B", "A B", False), ("A -> !B", "A C", True), ("A -> B|C", "A C", True), ("TEST*", "test:fail", True), ("* -> *", "A", False), ("^ ->> B", "A B", True), ("A ->> $", "A B", True), ("A ->> $", "B", False), ("^A ->> C$", "A B C", True), ("^A ->> B$", "A B C", False), ("A -> B ->> C -> D", "A B C A B C D", True), ("A -> B ->> C -> D", "A B D C", False), ("!A|B", "A B", False)])
 def test_paths(spark, pattern, labels_, hit):
     row = spark.createDataFrame([(labels_.split(),)], "x array<string>").select(graphs.follows(F.col("x"), pattern), graphs.path_start(F.col("x"), pattern)).first()
     assert row[0] == hit and (row[1] is not None) == hit
@@ -188,14 +189,63 @@ def test_graph_queries(spark, tmp_path):
     w = graphs.World.load(spark, str(tmp_path / "g"))
     ask = lambda t, c="walk_id": sorted(r[c] for r in graphs.query(w, t).collect())
     assert ask("path:'A -> B' select:walk") == ["c0"]
-    assert ask("loop:'A -> B*2' select:walk") == ["c0"]
-    assert ask("label:C select:walk") == ["c1"] and ask("-label:C select:walk") == ["c0"]
-    assert ask("finding:noVerification select:walk") == ["c1"]
+    assert ask("loop:'A -> B' iterations>=2 select:walk") == ["c0"]
+    assert ask("label.is:C select:walk") == ["c1"] and ask("-label.is:C select:walk") == ["c0"]
+    assert ask("finding:no_verif select:walk") == ["c1"]
     assert ask("outcome:abandoned select:node", "node_id") == ["A", "C", "END:abandoned", "START"]
     assert ask("node.visits>=3 select:node", "node_id") == ["A"]
     assert ask("reaches:'C ~> B' select:graph", "graph_id") == [] and ask("reaches:'A ~> B' select:graph", "graph_id") == ["states"]
     assert ask("aeg.label:A select:walk count:1") == ["c0"]
-    assert graphs.label_hints(w, "label:D") == [("D", [])]
+    assert graphs.label_hints(w, "label.is:DD") == [("DD", [])]
+
+
+def test_paths_match_search_by_hand(spark):
+    r = random.Random(6)
+    element = lambda: r.choice(["A", "B", "A|C", "!A", "*", "C"])
+    fits = lambda e, x: e == "*" or (x not in e[1:].split("|") if e[0] == "!" else x in e.split("|"))
+    rows, patterns = [[r.choice("ABC") for _ in range(r.randint(0, 7))] for _ in range(30)], []
+    for _ in range(25):
+        parts, gaps = [element() for _ in range(r.randint(1, 4))], []
+        gaps = [r.random() < 0.5 for _ in parts[1:]]
+        patterns.append((parts, gaps, r.random() < 0.3, r.random() < 0.3))
+
+    def matches(x, parts, gaps, begin, end):
+        def go(k, p):
+            if p >= len(x) or not fits(parts[k], x[p]):
+                return None
+            if k + 1 == len(parts):
+                return [p] if not end or p + 1 == len(x) else None
+            for q in range(p + 1, len(x)) if gaps[k] else [p + 1]:
+                if (rest := go(k + 1, q)) is not None:
+                    return [p, *rest]
+            return None
+
+        return next((m for p in ([0] if begin else range(len(x))) if (m := go(0, p)) is not None), None)
+
+    df = spark.createDataFrame([(x,) for x in rows], "x array<string>")
+    for parts, gaps, begin, end in patterns:
+        text = ("^" if begin else "") + "".join(a + g for a, g in zip(parts, [*(" ->> " if g else " -> " for g in gaps), ""])) + ("$" if end else "")
+        got = [r[0] for r in df.select(graphs.path_steps(F.col("x"), text)).collect()]
+        assert got == [matches(x, parts, gaps, begin, end) for x in rows], text
+
+
+def test_graph_fields_and_defaults(spark):
+    w = graphs.from_sequences(seqs(spark, [(["EDIT", "TEST:fail", "EDIT", "TEST:fail"], "abandoned"), (["EDIT", "TEST:ok"], "completed")]))
+    ask = lambda t, c="walk_id": sorted(r[c] for r in graphs.query(w, t).collect())
+    assert ask("label:test", "node_id") == ["TEST:fail", "TEST:ok"] and ask("label.is:TEST:ok", "node_id") == ["TEST:ok"]
+    assert ask("label:/^TEST:(fail|ok)$/", "node_id") == ["TEST:fail", "TEST:ok"] and ask("label.startswith:ED", "node_id") == ["EDIT"]
+    assert ask("session:c select:walk") == ["c0", "c1"] and ask("session:c1 select:walk") == ["c1"] and ask("session.is:c select:walk") == []
+    assert ask("outcome:failed select:walk") == ["c0"] and ask("-outcome:failed select:cases") == ["c1"]
+    assert ask("steps>=5 select:walk") == ["c0"] and ask("walk.steps<5 select:walk") == ["c1"] and ask("visits>=3", "node_id") == ["EDIT"]
+    assert ask("node.occurrences=2 label:TEST", "node_id") == ["TEST:fail"]
+    assert ask('loop:"TEST:fail EDIT" iterations>=2 select:walk') == ["c0"] and ask('loop:"TEST:fail EDIT" iterations>=3 select:walk') == []
+    assert ask('path:"^START -> EDIT ->> TEST:ok ->> $" select:walk') == ["c1"] and ask('path:"!EDIT -> END*" select:walk') == ["c0", "c1"]
+    assert ask('edge:"EDIT -> TEST:*" select:edge', "target") == ["TEST:fail", "TEST:ok"]
+    assert ask("artifact:x select:walk") == [] and ask("workgraph.label:EDIT select:walk") == []
+    assert graphs.label_hints(w, "label.is:TEST:fails") == [("TEST:fails", ["TEST:fail"])]
+    for bad in ("select:nope", "iterations>=3", "edge:EDIT", "label.near:x", "label:", "label:/(/", "count:0", 'path:"A -> "'):
+        with pytest.raises(QueryError):
+            graphs.parse(bad)
 
 
 # --------------------------------------------------------------------------- ratings, statistics, text

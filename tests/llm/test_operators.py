@@ -214,6 +214,105 @@ def test_base_spans_match_their_definition(spark):
         assert [x[name][f"n_{k}"] for k in pii.BASE] == [sum(s[0] == k for s in base) for k in pii.BASE]
 
 
+def every_segmentation(n, segments):
+    """All ways to lay segments (start, end, kind, score) over n tokens without overlap, as (score, chosen)."""
+    if n == 0:
+        yield 0.0, ()
+        return
+    for score, chosen in every_segmentation(n - 1, [x for x in segments if x[1] <= n - 1]):
+        yield score, chosen
+    for a, b, kind, s in segments:
+        if b == n:
+            for score, chosen in every_segmentation(a, [x for x in segments if x[1] <= a]):
+                yield score + s, (*chosen, (a, b, kind))
+
+
+@pytest.mark.parametrize("text", ["tel 555-123-4567 or", "a@b.org 10.0.0.1", "key = ab12 cd"])
+def test_decoding_and_marginals_match_enumeration(text):
+    r = np.random.default_rng(len(text))
+    (region,) = pii.regions(text)
+    field = pii.SemiMarkovField()
+    (_, start, end, ids, _), *_ = field.prepare([(region, {})])
+    start, end, ids = start[:12], end[:12], ids[:12]
+    region.segments = region.segments[:12]
+    field.w[:-1] = r.normal(size=field.w[:-1].shape)
+    scores = field.w[ids].sum(axis=1)
+    n = len(region.tokens)
+    few = [(int(a), int(b), k, float(scores[i, k])) for i, (a, b) in enumerate(zip(start, end)) for k in range(len(pii.KINDS))]
+    # the best kind of each segment is enough for the best segmentation; equal scores may be dealt either way
+    tops = [max((x for x in few if x[:2] == span), key=lambda x: x[3]) for span in sorted({x[:2] for x in few})]
+    best, _ = max(every_segmentation(n, tops))
+    worth = {(region.tokens[a][0], region.tokens[b - 1][1], pii.KINDS[k]): s for a, b, k, s in few}
+    got = field.decode(region)
+    np.testing.assert_allclose(sum(worth[a, b, k] for k, a, b in got), best)
+    assert all(x[2] <= y[1] for x, y in zip(got, got[1:]))
+    whole = [(int(a), int(b), i, float(np.logaddexp.reduce(scores[i]))) for i, (a, b) in enumerate(zip(start, end))]
+    ways = list(every_segmentation(n, whole))
+    total = np.logaddexp.reduce([x for x, _ in ways])
+    p, log_total = field.marginals(n, start, end, scores)
+    np.testing.assert_allclose(log_total, total)
+    for i in range(len(whole)):
+        np.testing.assert_allclose(p[i].sum(), np.exp(np.logaddexp.reduce([x for x, c in ways if any(k == i for *_, k in c)] or [-np.inf]) - total), atol=1e-9)
+
+
+def test_the_gradient_is_the_slope():
+    text = "token = ab12cd and 555-123-4567 now"
+    (region,) = pii.regions(text)
+    spans = {(a, b): k for k, (a, b) in enumerate(region.tokens)}
+    phone = next((i, j) for i, j, _ in region.segments if text[region.tokens[i][0] : region.tokens[j - 1][1]] == "555-123-4567")
+    field = pii.SemiMarkovField()
+    ((n, start, end, ids, true),) = field.prepare([(region, {phone: "phone"})])
+    field.w[:-1] = np.random.default_rng(1).normal(size=field.w[:-1].shape) * 0.3
+
+    def likelihood():
+        return float((field.w[ids].sum(axis=1) * true).sum()) - field.marginals(n, start, end, field.w[ids].sum(axis=1))[1]
+
+    slope = field.gradient(n, start, end, ids, true)
+    for f, k in [(0, 0), (1, 3), (2, 4), (5, 3), (8, 1)]:
+        was = field.w[f, k]
+        field.w[f, k] = was + 1e-5
+        up = likelihood()
+        field.w[f, k] = was - 1e-5
+        down = likelihood()
+        field.w[f, k] = was
+        np.testing.assert_allclose(slope[f, k], (up - down) / 2e-5, atol=1e-5)
+    assert spans
+
+
+def test_values_that_only_context_tells():
+    field = pii.fitted()
+    spans = lambda t: [(k, t[a:b]) for k, a, b in pii.find_spans(t, field)[1]]
+    assert spans("password = hunterxyz") == [("secret", "hunterxyz")] and spans("the password of the house") == []
+    assert spans("iban DE89 3704 0044 0532 0130 00") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert spans("call 0171 1234567 now") == [("phone", "0171 1234567")]
+    assert spans("J.DOE [AT] MAIL.EXAMPLE [DOT] ORG") == [("email", "J.DOE [AT] MAIL.EXAMPLE [DOT] ORG")]
+    assert spans("write john.doe [at] example [dot] com today") == [("email", "john.doe [at] example [dot] com")]
+    assert spans("api key: sk-ABCDEFGHIJKLMNOPQRST ok") == [("secret", "sk-ABCDEFGHIJKLMNOPQRST")]
+    assert spans("contact: anna, address: the street") == []
+
+
+def test_time_on_long_runs_follows_their_length():
+    import time
+
+    field = pii.fitted()
+    for unit in ("a", "1", "1.", "a@", "a@b", "+1(", "[at] ", "key="):
+        took = []
+        for n in (6000, 24_000):
+            text = unit * (n // len(unit)) + ("@" if unit == "a" else "")
+            start = time.process_time()
+            pii.find_spans(text, field)
+            took.append(time.process_time() - start)
+        assert took[1] < 10 * took[0] + 0.3, unit
+
+
+def test_personal_data_edges(spark):
+    rows = [(1, "mail a@b.org", "x"), (1, "mail a@b.org", "x"), (None, None, None), (2, "", "y"), (3, "7" * 300_000 + " a@b.org", "z")]
+    found, name = pii.detect(frame(spark, rows, "doc_id long, text string, pii string"))
+    assert name != "pii" and sorted(x[0] for x in found.select(f"{name}.n_email").collect()) == [0, 0, 1, 1, 1]
+    empty, name = pii.detect(frame(spark, [], "doc_id long, text string"))
+    assert empty.count() == 0
+
+
 def test_the_field_adds_what_patterns_miss():
     field = pii.fitted()
     spans = lambda t: {(k, t[a:b]) for k, a, b in pii.find_spans(t, field)[1]}

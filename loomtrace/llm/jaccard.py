@@ -2,8 +2,9 @@
 
 1. Every document becomes the set of its shingles' hashes.  Documents with equal sets are one vertex from here on,
    so copies cost nothing.  A prefix of each set (its smallest hashes, half as many again as two similar sets may
-   differ in) is packed into blobs and dealt out by hash; a key that several vertices of fitting size share makes a
-   list.  A vertex that shares fewer keys than similar sets must is out: a shared passage is not enough.
+   differ in) is packed into blobs and dealt out by hash, to as many tasks as the counted keys need; a key that several
+   vertices of fitting size share makes a list.  A vertex that shares fewer keys than similar sets must is out: a shared
+   passage is not enough.  A long list is dealt as pairs of parts, by size band and salt, before anything else travels.
 2. The vertices left in lists get a token bitmap.  Each task builds signature trees over its lists, whose nodes hold the
    OR of the bitmaps below and the range of set sizes, and walks pairs of nodes, dropping a pair when the sizes are
    incompatible or the largest possible overlap is too small.  What is left joins vertices into clusters.
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, MIX_A, NOT_SPACE, U64, Forest, components, cut, in_batches, maybe_broadcast, mix, text_chunks, words
 
 FANOUT = 8
-#: Keys that a task gathers before it hands them on, and vertices that one task of step 3 compares at once.
-FLUSH_KEYS, CLUSTER = 1 << 18, 2048
+#: Keys that a task gathers before it hands them on, keys that one task of step 1 sorts, vertices of a list that stay
+#: together, and vertices and shingles that one task of step 3 compares at once with as many others.
+FLUSH_KEYS, TASK_KEYS, LIST, CLUSTER, SHINGLES = 1 << 18, 1 << 22, 512, 2048, 1 << 22
+#: Places per task that lists are dealt to.
+HOMES = 8
 
 
 # --------------------------------------------------------------------------- sets
@@ -154,9 +158,33 @@ def _list_rows(part: int, v=None, n=None, keys=None, need=None, blob=None) -> pa
     return pa.RecordBatch.from_arrays([pa.array([part] * size, pa.int64()), column(v, pa.int64()), column(n, pa.int64()), column(keys, pa.int64()), column(need, pa.int64()), column(blob, pa.binary())], ["part", "v", "n", "keys", "need", "blob"])
 
 
+def pieces(sim: Similarity, ids: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(name, vertices) of the pieces of a list: the list itself, or for a long one pairs of its parts by size band and
+    salt, such that any two vertices whose sizes fit meet in a piece.  Lists of one group name theirs alike."""
+    hub = int(ids.min())
+    if len(ids) <= LIST:
+        yield hub, ids
+        return
+    band = sim.band(n)
+    parts: dict[int, list[np.ndarray]] = {}
+    for b in np.unique(band).tolist():
+        some = ids[band == b]
+        # powers of two, so that lists of like length are parted alike
+        salts = 1 << int(np.ceil(np.log2(max(1, len(some) / LIST))))
+        salt = (mix(some.astype(np.uint64)) & U64(salts - 1)).astype(np.int64)
+        parts[b] = [some[salt == k] for k in range(salts)]
+    for b, own in parts.items():
+        for i, one in enumerate(own):
+            for other, d in ((own[i:], 0), (parts.get(b + 1, []), 1)):
+                for j, two in enumerate(other):
+                    both = one if d == 0 and j == 0 else np.concatenate([one, two])
+                    if len(both) > 1:
+                        yield hash((hub, b, len(own), i, d, len(other), j + i * (1 - d))), both
+
+
 def _lists(sim: Similarity, homes: int):
     """Of a task's keys, those that several vertices of fitting size share: per vertex how many, and the lists, equal
-    ones once, by the home that a list's smallest vertex has; there the lists of one group meet again."""
+    ones once, by the home of a list's smallest vertex (and part); there the lists of one group meet again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, v, n = [], [], []
@@ -198,7 +226,8 @@ def _lists(sim: Similarity, homes: int):
             ids = v[a:b][keep]
             out_v.append(ids)
             out_n.append(n[a:b][keep])
-            blobs.setdefault(int(ids.min() % homes), {})[ids.tobytes()] = None
+            for name, some in pieces(sim, ids, n[a:b][keep]):
+                blobs.setdefault(int(mix(np.array([name], np.int64).view(np.uint64))[0] % U64(homes)), {})[some.tobytes()] = None
         if not blobs:
             return
         ids, first, count = np.unique(np.concatenate(out_v), return_index=True, return_counts=True)
@@ -450,32 +479,39 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     sim = Similarity(*similarity)
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     per_doc = cut(in_batches(base, _sizes(k), "doc_id bigint, n bigint, v bigint"))
+    keys = per_doc.where("n > 0").agg(F.sum(F.floor(F.col("n") * F.lit(1.5 * (1 - sim.num / sim.den))) + 2)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // TASK_KEYS))
     blobs = in_batches(base.select("text"), _sketch(k, sim, 2 * parts), "bucket bigint, blob binary")
-    lists = cut(blobs.repartition(parts, "bucket").mapInArrow(_lists(sim, parts), LISTS))
+    lists = cut(blobs.repartition(parts, "bucket").mapInArrow(_lists(sim, HOMES * parts), LISTS))
     listed = lists.where("v IS NOT NULL").groupBy("v").agg(F.sum("keys").alias("keys"), F.min("need").alias("need"))
     active = cut(listed.where("keys >= need").select("v"))
     # one document stands for each vertex left; its text is read again for the bitmap and the set
     reps = per_doc.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    chosen = cut(reps.join(maybe_broadcast(active, 24), "v").where("rep IS NOT NULL").select("v", "rep"))
+    chosen = cut(reps.join(maybe_broadcast(active, 24), "v").select("v", "rep"))
+    nameless = not chosen.where("rep IS NULL").isEmpty()
 
     def again(base, wanted, fn, ddl):
         rows = base.join(maybe_broadcast(wanted, 32), base.doc_id == wanted.rep).select("v", "text")
-        return in_batches(rows, fn, ddl)
+        out = in_batches(rows, fn, ddl)
+        if nameless:
+            # vertices whose documents have no id are found by their sets
+            none = in_batches(base.where("doc_id IS NULL").select(F.lit(None).cast("bigint").alias("v"), "text"), fn, ddl)
+            out = out.unionByName(none.join(maybe_broadcast(wanted.where("rep IS NULL").select("v"), 16), "v", "left_semi"))
+        return out.dropDuplicates(["v"])
 
     def with_bits(batches):
         for batch in batches:
             v, n, b = [], [], []
             for x, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
-                if set_id(s) == x and len(s):
-                    v.append(x)
+                if len(s) and (own := set_id(s)) == (own if x is None else x):
+                    v.append(own)
                     n.append(len(s))
                     b.append(bitmap(s).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.binary())], ["v", "n", "bits"])
 
-    bits = again(base, chosen, with_bits, "v bigint, n bigint, bits binary").dropDuplicates(["v"])
+    bits = again(base, chosen, with_bits, "v bigint, n bigint, bits binary")
     homes = cut(lists.where("v IS NULL").select("part", "blob").repartition(parts, "part").mapInArrow(_needs, LISTS))
     need = homes.where("v IS NOT NULL").select("part", "v").join(bits, "v").select("part", "v", "n", F.col("bits").alias("blob"))
     tasks = need.unionByName(homes.where("v IS NULL").select("part", "v", "n", "blob")).repartition(parts, "part")
@@ -483,10 +519,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     clusters = cut(clusters.join(chosen, clusters.node == chosen.v).select("v", "rep", "component"))
     bands = np.log(sim.den / sim.num)
     sized = cut(clusters.join(reps.select("v", "n"), "v").withColumn("band", F.floor(F.log("n") / F.lit(float(bands)) + 1e-9).cast("int")))
-    total = sized.groupBy("component").agg(F.count("*").alias("members"))
-    salts = sized.groupBy("component", "band").agg(F.ceil(F.count("*") / F.lit(CLUSTER)).cast("int").alias("salts"))
+    total = sized.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    salts = sized.groupBy("component", "band").agg(F.greatest(F.ceil(F.count("*") / F.lit(CLUSTER)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("int").alias("salts"))
     around = lambda d: salts.select("component", (F.col("band") + d).alias("band"), F.col("salts").alias(f"s{d + 1}"))
-    big = total.where(F.col("members") > CLUSTER).select("component")
+    big = total.where((F.col("members") > CLUSTER) | (F.col("shingles") > SHINGLES)).select("component")
     split = sized.join(big, "component").join(around(0), ["component", "band"]).join(around(1), ["component", "band"], "left").join(around(-1), ["component", "band"], "left")
     i = F.pmod(F.xxhash64("v"), F.col("s1")).cast("int")
     name = lambda b1, x, b2, y: F.concat_ws(":", F.col("component"), b1, x, b2, y)
@@ -503,12 +539,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         for batch in batches:
             v, b = [], []
             for x, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
-                if set_id(s) == x and len(s):
-                    v.append(x)
+                if len(s) and (own := set_id(s)) == (own if x is None else x):
+                    v.append(own)
                     b.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(b, pa.binary())], ["v", "s"])
 
-    sets = again(base, groups.select("v", "rep").distinct(), with_sets, "v bigint, s binary").dropDuplicates(["v"])
+    sets = again(base, groups.select("v", "rep").distinct(), with_sets, "v bigint, s binary")
     links = groups.select("g", "v").join(sets, "v").groupBy("g").applyInArrow(_verified(sim), "a bigint, b bigint")
     linked = components(links)
     named = reps.join(linked.withColumnRenamed("node", "v"), "v", "left").select("v", F.coalesce("component", "v").alias("c"), "rep")

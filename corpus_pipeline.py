@@ -11,9 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from loomtrace.llm import decontaminate, jaccard, langid, mixing, pii
-from loomtrace.llm.common import checkpoint_dir, cut, maybe_broadcast
+from loomtrace.llm.common import checkpoint_dir, cut, free_name, maybe_broadcast
 
 #: Documents whose language is less certain than this are rejected.
 LEAST_SCORE = 0.4
@@ -27,10 +28,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; rows that repeat a doc_id are one document."""
-    groups = jaccard.near_duplicates(docs)
-    gone = cut(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(maybe_broadcast(gone, 16), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group stays, that with the smallest doc_id (null ids last, then by a hash of the row).  Rows are
+    told apart by that hash, so that a doc_id may be null or repeat; of rows that are equal in everything one stays."""
+    row = free_name(docs, "row")
+    marked = docs.withColumn(row, F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType)))))
+    groups = jaccard.near_duplicates(marked, doc_id=row).select(F.col("doc_id").alias(row), "component_id")
+    ids = marked.groupBy(row).agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
+    known = cut(ids.join(groups.distinct(), row))
+    first = known.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", row)).alias("first"))
+    gone = cut(known.join(first, "component_id").where(F.col(row) != F.col(f"first.{row}")).select(row))
+    kept = marked.join(maybe_broadcast(gone, 16), row, "left_anti")
+    twice = maybe_broadcast(cut(known.where("rows > 1").select(row)), 16)
+    once = kept.join(twice, row, "left_anti").unionByName(kept.join(twice, row, "left_semi").dropDuplicates([row]))
+    return once.select(docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,14 +47,14 @@ ask("q_role_is", "role:USER", f"{CHAT} SELECT id FROM m WHERE role = 'user'")
 ask("q_negated", "-content:thand role:user", f"{CHAT} SELECT id FROM m WHERE NOT (contains(low, 'thand') AND {TALK}) AND role = 'user'")
 ask("q_boolean_or_and_not", "(thand or ingth) and not role:assistant", f"{CHAT} SELECT id FROM m WHERE (contains(low, 'thand') OR contains(low, 'ingth')) AND {TALK} AND NOT role = 'assistant'")
 ask("q_internal_roles", "thand internal:yes", f"{CHAT} SELECT id FROM m WHERE contains(low, 'thand')")
-ask("q_thread_semi", "user:thand select:thread", f"{CHAT} SELECT DISTINCT s AS id FROM m WHERE role = 'user' AND contains(low, 'thand')")
+ask("q_thread_semi", "user:was select:thread", f"{CHAT} SELECT DISTINCT s AS id FROM m WHERE role = 'user' AND contains(low, 'was')")
 ask("q_thread_anti", "-user:thand select:thread", f"{CHAT} SELECT DISTINCT s AS id FROM m WHERE s NOT IN (SELECT s FROM m WHERE role = 'user' AND contains(low, 'thand'))")
-ask("q_session_multi_term", "user:thand assistant:ingth -message:eaea select:session", f"{CHAT} SELECT s AS id FROM m GROUP BY s HAVING bool_or(role = 'user' AND contains(low, 'thand')) AND bool_or(role = 'assistant' AND contains(low, 'ingth')) AND NOT bool_or(contains(low, 'eaea'))")
+ask("q_session_multi_term", "user:was assistant:that -message:eaea select:session", f"{CHAT} SELECT s AS id FROM m GROUP BY s HAVING bool_or(role = 'user' AND contains(low, 'was')) AND bool_or(role = 'assistant' AND contains(low, 'that')) AND NOT bool_or(contains(low, 'eaea'))")
 ask("q_session_prefix", "session:1 role:system", f"{CHAT} SELECT id FROM m WHERE role = 'system' AND starts_with(s, '1')")
 LOG = "WITH e AS (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS s, ts, event_type, CASE event_type WHEN 'error' THEN 'failure' ELSE 'success' END AS status, value, props FROM events), p AS (SELECT s, min(ts) AS started FROM e GROUP BY s)"
 ask("q_after_before", "after:2024-01-01T06:00:00 before:2024-01-02 select:session", f"{LOG} SELECT s AS id FROM p WHERE started >= TIMESTAMP '2024-01-01 06:00:00' AND started < TIMESTAMP '2024-01-02'", store=bridge.log_store)
 ask("q_count_limit", "select:session count:5", f"{LOG} SELECT s AS id FROM p ORDER BY started DESC, s LIMIT 5", store=bridge.log_store)
-ask("q_status_action", "status:failure action:log", f"{LOG} SELECT id FROM e WHERE status = 'failure'", store=bridge.log_store)
+ask("q_status_action", "status:success action:log.click", f"{LOG} SELECT id FROM e WHERE status = 'success' AND event_type = 'click'", store=bridge.log_store)
 ask("q_tool_or_session", "tool:purchase or session.is:7", f"{LOG} SELECT id FROM e WHERE event_type = 'purchase' OR starts_with(s, '7')", store=bridge.log_store)
 
 
@@ -96,11 +96,11 @@ def existence(spark, d):
     return bridge.read(spark, d, "customer").join(flags, "c_custkey", "left").where("p OR p IS NULL").select("c_custkey")
 
 
-@query("j_unique_pairs", "WITH a AS (SELECT c_nationkey AS k, min(c_custkey) AS a FROM customer GROUP BY 1 HAVING count(*) = 1), b AS (SELECT s_nationkey AS k, min(s_suppkey) AS b FROM supplier GROUP BY 1 HAVING count(*) = 1) SELECT k, a, b FROM a JOIN b USING (k)")
+@query("j_unique_pairs", "WITH a AS (SELECT floor(c_acctbal / 5)::BIGINT AS k, min(c_custkey) AS a FROM customer GROUP BY 1 HAVING count(*) = 1), b AS (SELECT floor(s_acctbal / 5)::BIGINT AS k, min(s_suppkey) AS b FROM supplier GROUP BY 1 HAVING count(*) = 1) SELECT k, a, b FROM a JOIN b USING (k)")
 def unique_pairs(spark, d):
     """Keys that occur exactly once on both sides."""
-    once = lambda t, k, v, n: bridge.read(spark, d, t).groupBy(F.col(k).alias("k")).agg(F.min(v).alias(n), F.count("*").alias("c")).where("c = 1").drop("c")
-    return once("customer", "c_nationkey", "c_custkey", "a").join(once("supplier", "s_nationkey", "s_suppkey", "b"), "k")
+    once = lambda t, k, v, n: bridge.read(spark, d, t).groupBy(F.floor(F.col(k) / 5).alias("k")).agg(F.min(v).alias(n), F.count("*").alias("c")).where("c = 1").drop("c")
+    return once("customer", "c_acctbal", "c_custkey", "a").join(once("supplier", "s_acctbal", "s_suppkey", "b"), "k")
 
 
 @query("j_asof_model_in_force", f"{LOG} SELECT id, last_value(CASE WHEN event_type = 'signup' THEN id END IGNORE NULLS) OVER (PARTITION BY s ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS in_force FROM e")
@@ -256,10 +256,10 @@ def prefixspan(spark, d):
     return mining.closed(mining.prefixspan(day_cases(spark, d))).withColumn("pattern", F.array_join("pattern", " > "))
 
 
-@query("r_happy_path")
+@query("r_happy_path", f"{DAY.replace('WITH', 'WITH RECURSIVE', 1)}, c AS (SELECT source, target, count(*) AS n FROM t GROUP BY ALL), e AS (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS p FROM c), path AS (SELECT ['START'] AS p, 1.0::DOUBLE AS pr, 'START' AS here UNION ALL SELECT list_append(path.p, e.target), pr * e.p, e.target FROM path JOIN e ON e.source = here WHERE NOT list_contains(path.p, e.target) AND here <> 'END:completed') SELECT array_to_string(p, ' > ') AS path, round(pr, 9) AS probability FROM path WHERE here = 'END:completed' ORDER BY pr DESC LIMIT 1")
 def happy_path(spark, d):
     path, p = traversal.happy_path(mining.edges(day_cases(spark, d)))
-    return spark.createDataFrame([(" > ".join(path), p)], "path string, probability double")
+    return spark.createDataFrame([(" > ".join(path), round(p, 9))], "path string, probability double")
 
 
 # --------------------------------------------------------------------------- sequences
@@ -288,6 +288,19 @@ def _as_calls(spark: SparkSession, d: str) -> DataFrame:
 CALLS = f"{LOG}, k AS (SELECT *, CASE WHEN event_type IN ('view', 'click') THEN 'tool_call' WHEN event_type = 'error' THEN 'tool_result' ELSE 'message' END AS kind, CASE event_type WHEN 'signup' THEN 'user' WHEN 'purchase' THEN 'assistant' ELSE 'tool' END AS role, (json_extract(props, '$.k')::INT % 2)::VARCHAR AS file FROM e), n AS (SELECT *, row_number() OVER w - 1 AS i, lead(event_type, 1) OVER w AS e1, lead(event_type, 2) OVER w AS e2 FROM k WINDOW w AS (PARTITION BY s ORDER BY ts, id))"
 
 
+#: What each pattern finds in CALLS: s, a, b, detail.
+PIECES = """stub AS (SELECT s, i AS a, i + 2 AS b, CASE event_type WHEN 'view' THEN 'view' ELSE 'edit_file' END AS detail FROM n WHERE kind = 'tool_call' AND e1 = 'error' AND e2 = event_type),
+spike AS (SELECT s, i AS a, i + 4 AS b, bad::VARCHAR AS detail FROM (SELECT s, i, sum((status = 'failure')::INT) OVER w AS bad, count(*) OVER w AS size FROM n WINDOW w AS (PARTITION BY s ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE size = 5 AND bad >= 3),
+f AS (SELECT *, CASE WHEN event_type = 'click' THEN file END AS target FROM n WHERE kind <> 'tool_result'), g AS (SELECT *, CASE WHEN target IS NOT NULL AND lag(target) OVER w = target THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY s ORDER BY i)), h AS (SELECT *, sum(fresh) OVER (PARTITION BY s ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM g), x AS (SELECT s, g, any_value(target) AS target, min(i) AS a, count(*) AS n FROM h GROUP BY s, g), y AS (SELECT *, lead(a) OVER (PARTITION BY s ORDER BY g) AS nxt FROM x), z AS (SELECT s, max(i) AS last FROM n GROUP BY s),
+overwrite AS (SELECT s, a, coalesce(nxt - 1, last) AS b, target AS detail FROM y JOIN z USING (s) WHERE target IS NOT NULL AND n >= 2),
+fix AS (SELECT a.s, a.i AS a, min(b.i) FILTER (b.event_type = 'click' AND b.file <> a.file) AS b, any_value(a.file) AS detail, coalesce(bool_or(b.kind = 'tool_call' AND b.file = a.file), false) AS back FROM n a LEFT JOIN n b ON a.s = b.s AND b.i BETWEEN a.i + 2 AND a.i + 11 WHERE a.event_type = 'click' AND a.e1 = 'error' GROUP BY a.s, a.i),
+abandoned AS (SELECT s, a, b, detail FROM fix WHERE NOT back AND b IS NOT NULL),
+ask AS (SELECT a.s, a.i, min(b.i) FILTER (b.role IN ('user', 'assistant')) AS stop, min(b.i) FILTER (b.kind = 'tool_call') AS call, max(b.i) AS seen, min(b.i) FILTER (b.role = 'assistant') AS speech FROM n a LEFT JOIN n b ON a.s = b.s AND b.i BETWEEN a.i + 1 AND a.i + 5 WHERE a.role = 'user' GROUP BY a.s, a.i),
+ignored AS (SELECT s, i AS a, coalesce(stop, seen) AS b FROM ask WHERE call <= coalesce(stop, seen) AND (speech IS NULL OR stop IS NULL OR speech <> stop)),
+quiet AS (SELECT s, g, min(i) AS a, max(i) AS b, count(*) AS n FROM (SELECT *, sum((role <> 'tool')::INT) OVER (PARTITION BY s ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM n) WHERE role = 'tool' GROUP BY s, g),
+silence AS (SELECT s, a, b FROM quiet WHERE n >= 8)"""
+
+
 @query("s_stubborn_loop", f"{CALLS} SELECT s AS session_id, i AS start, i + 2 AS \"end\", CASE event_type WHEN 'view' THEN 'view' ELSE 'edit_file' END AS detail FROM n WHERE kind = 'tool_call' AND e1 = 'error' AND e2 = event_type")
 def stubborn(spark, d):
     return sequence.StubbornToolLoop().matches(_as_calls(spark, d)).select("session_id", "start", "end", "detail")
@@ -303,27 +316,29 @@ def ignored(spark, d):
     return sequence.IgnoredUserInstruction().matches(_as_calls(spark, d)).select("session_id", "start", "end")
 
 
-@query("s_abandoned_fix")
+@query("s_abandoned_fix", f"{CALLS}, {PIECES} SELECT s AS session_id, a AS start, b AS \"end\", detail FROM abandoned")
 def abandoned(spark, d):
     return sequence.AbandonedFix().matches(_as_calls(spark, d)).select("session_id", "start", "end", "detail")
 
 
-@query("s_empty_result", f"{LOG} SELECT count(*) AS findings FROM e WHERE trim(props) = ''")
+@query("s_empty_result", f"{CALLS} SELECT s AS session_id, i AS start, 'info' AS severity FROM n WHERE event_type = 'error'")
 def empty_results(spark, d):
-    return sequence.EmptyToolResult().matches(bridge.actions(spark, d)).agg(F.count("*").alias("findings"))
+    """Errors of the log, as results whose text is white space."""
+    e = _as_calls(spark, d)
+    return sequence.EmptyToolResult().matches(e.withColumn("text", F.when(F.col("kind") == "tool_result", F.lit(" \u2003\n")).otherwise(F.col("text")))).select("session_id", "start", "severity")
 
 
-@query("s_any_of")
+@query("s_any_of", f"{CALLS}, {PIECES} SELECT 'stubborn_tool_loop' AS pattern, s AS session_id, a AS start, b AS \"end\", detail FROM stub UNION SELECT 'frustration_spike', s, a, b, detail FROM spike")
 def any_of(spark, d):
     return (sequence.StubbornToolLoop() | sequence.FrustrationSpike()).matches(_as_calls(spark, d)).select("pattern", "session_id", "start", "end", "detail")
 
 
-@query("s_all_of_trajectory")
+@query("s_all_of_trajectory", f"{CALLS}, {PIECES}, t AS (SELECT s, i, sum((event_type = 'signup')::INT) OVER (PARTITION BY s ORDER BY i ROWS UNBOUNDED PRECEDING) AS t FROM n), every AS (SELECT 1 AS k, s, a, b FROM stub UNION ALL SELECT 2, s, a, b FROM overwrite) SELECT e.s AS session_id, min(a) AS start, max(b) AS \"end\", 'warning' AS severity, x.t::BIGINT::VARCHAR AS detail FROM every e JOIN t x ON x.s = e.s AND x.i = a JOIN t y ON y.s = e.s AND y.i = b WHERE x.t = y.t AND x.t > 0 GROUP BY e.s, x.t HAVING count(DISTINCT k) = 2")
 def all_of(spark, d):
     return (sequence.StubbornToolLoop() & sequence.SelfOverwrite()).matches(_as_calls(spark, d)).select("session_id", "start", "end", "severity", "detail")
 
 
-@query("s_scan_summary")
+@query("s_scan_summary", f"{CALLS}, {PIECES}, every AS (SELECT 'stubborn_tool_loop' AS pattern, 'warning' AS severity, s FROM stub UNION ALL SELECT 'frustration_spike', 'warning', s FROM spike UNION ALL SELECT 'self_overwrite', 'warning', s FROM overwrite UNION ALL SELECT 'abandoned_fix', 'warning', s FROM abandoned UNION ALL SELECT 'ignored_user_instruction', 'info', s FROM ignored UNION ALL SELECT 'long_silence', 'info', s FROM silence) SELECT pattern, severity, count(*) AS findings, count(DISTINCT s) AS sessions FROM every GROUP BY ALL")
 def scan_summary(spark, d):
     return sequence.summary(sequence.scan(_as_calls(spark, d)))
 
@@ -450,16 +465,21 @@ def redact(spark, d):
     return bridge.read(spark, d, "documents").select("doc_id", redaction.redacted(F.col("text")).alias("text"))
 
 
-@query("f_redaction_counts")
+@query("f_redaction_counts", r"SELECT 'assignment' AS kind, sum(len(regexp_extract_all(text, '(?i:token)\s*=\s*"+'"'+r"[0-9][0-9a-f]{39}')))::BIGINT AS n FROM documents HAVING n > 0")
 def redact_counts(spark, d):
     counts = bridge.read(spark, d, "documents").select(F.explode(redaction.redaction_counts(F.col("text"))).alias("kind", "n"))
     return counts.groupBy("kind").agg(F.sum("n").alias("n"))
 
 
-@query("f_file_kind", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'test' WHEN page_id % 4 = 1 THEN 'config' WHEN page_id % 4 = 2 THEN 'docs' ELSE 'src' END AS kind FROM pages")
+FOLDERS, ENDINGS = ("src", "tests", "a/spec/b", "docs", "."), (".py", ".md", ".toml", ".json", ".rs", ".xyz", "_test.go", ".spec.ts", "", ".yml", ".TXT", ".sql")
+
+
+@query("f_file_kind", f"WITH x AS (SELECT p_partkey, {list(FOLDERS)}[p_size % 5 + 1] AS f, {list(ENDINGS)}[p_partkey % 12 + 1] AS e FROM part) SELECT p_partkey, CASE WHEN f IN ('tests', 'a/spec/b') OR e IN ('_test.go', '.spec.ts') THEN 'test' WHEN e IN ('.toml', '.json', '.yml') THEN 'config' WHEN e IN ('.md', '.TXT') THEN 'docs' WHEN e IN ('.py', '.rs', '.sql') THEN 'src' ELSE 'other' END AS kind FROM x")
 def file_kind(spark, d):
-    path = F.get(F.array(*map(F.lit, ("a/tests/x.py", "b/pyproject.toml", "docs/Readme.md", "src/main.RS"))), (F.col("page_id") % 4).cast("int"))
-    return bridge.read(spark, d, "pages").select("page_id", labels.file_kind(path).alias("kind"))
+    """Parts as files: their names below a folder by size, with an ending by key."""
+    pick = lambda values, k: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    path = F.concat(pick(FOLDERS, F.col("p_size")), F.lit("/"), F.regexp_replace("p_name", r"\W+", "_"), pick(ENDINGS, F.col("p_partkey")))
+    return bridge.read(spark, d, "part").select("p_partkey", labels.file_kind(path).alias("kind"))
 
 
 @query("f_command_family", "SELECT event_id, CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'test' WHEN 'error' THEN 'install' WHEN 'signup' THEN 'git' ELSE 'other' END AS family FROM events")

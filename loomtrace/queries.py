@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bridge
-from .functions import labels, outline, redaction
+from .functions import labels, outline, redaction, values
 from .functions.text import word_tokens
-from .operators import mining, ratings, sequence, statistics, traversal
+from .model import Store
+from .operators import entities, episodes, mining, ratings, sequence, statistics, traversal
 from .operators.checkpoint import cut
-from .plans import compiler
+from .plans import compiler, filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -221,18 +223,74 @@ def failure_sinks(spark, d):
 
 @query("a_cost_hotspots", f"{DAY} SELECT name AS state, round(sum(value), 4) AS cost, round(sum(value) / sum(sum(value)) OVER (), 6) AS share, round(sum(value) / count(DISTINCT (case_id, pos)), 6) AS per_visit FROM g GROUP BY name")
 def cost_hotspots(spark, d):
-    steps = bridge.day_sequences(spark, d)
-    w = Window.partitionBy("case_id").orderBy("ts", "pos")
-    fresh = F.when(F.lag("name").over(w) == F.col("name"), 0).otherwise(1)
-    out = steps.withColumn("fresh", fresh).groupBy(F.col("name").alias("state")).agg(F.sum("value").alias("cost"), F.sum("fresh").alias("visits"))
-    total = out.agg(F.sum("cost").alias("total"))
-    return out.crossJoin(F.broadcast(total)).select("state", F.round("cost", 4).alias("cost"), F.round(F.col("cost") / F.col("total"), 6).alias("share"), F.round(F.col("cost") / F.col("visits"), 6).alias("per_visit"))
+    out = entities.cost_hotspots(bridge.day_sequences(spark, d), order=("ts", "pos"), cost="value")
+    return out.select("state", F.round("cost", 4).alias("cost"), F.round("share", 6).alias("share"), F.round("per_visit", 6).alias("per_visit"))
+
+
+LOOPED = "l AS (SELECT s.case_id, pos, name, outcome <> 'completed' AS failed FROM s JOIN o USING (case_id) WHERE repeat >= 2)"
+MONTH = "substr(split_part(case_id, ':', 2), 1, 7)"
 
 
-@query("a_drift_month", f"{DAY} SELECT substr(split_part(case_id, ':', 2), 1, 7) AS month, count(*) AS cases, round(avg((outcome = 'completed')::INT), 6) AS completed, median(len(names) - 2) AS median_states FROM q GROUP BY 1")
+@query("a_drift_month", f"{DAY}, {LOOPED}, v AS (SELECT {MONTH} AS key, name, count(*) AS n FROM s GROUP BY ALL), top AS (SELECT key, string_agg(name, ',' ORDER BY n DESC, name) AS top_states FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, name) AS r FROM v) WHERE r <= 3 GROUP BY key) SELECT {MONTH} AS key, count(*) AS cases, round(avg((outcome = 'completed')::INT), 6) AS completed, median(len(names) - 2) AS median_states, round(avg((case_id IN (SELECT case_id FROM l))::INT), 6) AS loop_share, any_value(top_states) AS top_states FROM q JOIN top ON key = {MONTH} GROUP BY 1")
 def drift(spark, d):
-    month = F.substring(F.split_part("case_id", F.lit(":"), F.lit(2)), 1, 7)
-    return day_cases(spark, d).groupBy(month.alias("month")).agg(F.count("*").alias("cases"), F.round(F.avg((F.col("outcome") == "completed").cast("double")), 6).alias("completed"), F.median(F.size("names") - 2).alias("median_states"))
+    cases = day_cases(spark, d)
+    out = entities.drift(cases, values.month(F.split_part("case_id", F.lit(":"), F.lit(2))), mining.self_loops(cases))
+    return out.select("key", "cases", F.round("completed", 6).alias("completed"), "median_states", F.round("loop_share", 6).alias("loop_share"), F.array_join("top_states", ",").alias("top_states"))
+
+
+def _user(case="case_id"):
+    return F.split_part(case, F.lit(":"), F.lit(1)).cast("int")
+
+
+@query("a_drift_by", f"{DAY}, {LOOPED}, m AS (SELECT name FROM l GROUP BY name ORDER BY count(*) DESC, name LIMIT 4), k AS (SELECT (split_part(case_id, ':', 1)::INT % 5)::VARCHAR AS key, case_id, outcome FROM o) SELECT k.key, m.name AS mode, count(*) AS cases, round(avg((outcome = 'completed')::INT), 6) AS completed, round(avg(((k.case_id, m.name) IN (SELECT (case_id, name) FROM l))::INT), 6) AS share FROM k, m GROUP BY ALL")
+def drift_by(spark, d):
+    """Days by group of users; a state that repeats is a finding of its name."""
+    cases = day_cases(spark, d)
+    found = mining.self_loops(cases).select("case_id", F.col("cycle")[0].alias("mode"))
+    out = entities.drift_by(cases, found, (_user() % 5).cast("string"))
+    return out.withColumn("completed", F.round("completed", 6)).withColumn("share", F.round("share", 6))
+
+
+@query("a_counters", f"{DAY}, {LOOPED} SELECT (SELECT count(*) FROM q) AS cases, (SELECT count(*) FROM s) AS states, (SELECT count(*) FROM o WHERE outcome = 'completed') AS completed, (SELECT count(DISTINCT name) FROM s) AS labels, (SELECT count(*) FROM l) AS loops")
+def counters(spark, d):
+    cases = day_cases(spark, d)
+    return entities.counters(cases, mining.self_loops(cases))
+
+
+def day_links(spark: SparkSession, d: str) -> DataFrame:
+    """What each step of a day touches: its type as a tool, one of forty files, and its user's model of three."""
+    steps, w = bridge.day_sequences(spark, d), Window.partitionBy("case_id").orderBy("ts", "pos")
+    fresh = F.when(F.lag("name").over(w) == F.col("name"), 0).otherwise(1)
+    at = steps.withColumn("fresh", fresh).withColumn("state", (F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    model = F.concat(F.lit("m"), (_user() % 3).cast("string"))
+    file = F.concat(F.lit("f"), (F.col("pos") % 40).cast("string"))
+    kinds = F.array(F.struct(F.lit("tool").alias("kind"), F.col("name").alias("entity")), F.struct(F.lit("file").alias("kind"), file.alias("entity")), F.struct(F.lit("model").alias("kind"), model.alias("entity")))
+    return at.select("case_id", "state", F.explode(kinds).alias("x"), F.when(F.col("name") == "click", "EDIT").otherwise("READ").alias("action"), (F.col("name") == "error").alias("failed")).select("case_id", "state", "x.kind", "x.entity", "action", "failed")
+
+
+FAILING = f"{LOOPED}, bad AS (SELECT case_id, pos FROM l WHERE failed)"
+
+
+@query("a_entity_edit_hotspots", "SELECT 'f' || (event_id % 40)::VARCHAR AS file, count(*) AS edits, count(DISTINCT user_id) AS sessions FROM events WHERE event_type = 'click' GROUP BY 1")
+def edit_hotspots(spark, d):
+    return entities.edit_hotspots(day_links(spark, d), day_cases(spark, d).select("case_id", _user().alias("session_id")))
+
+
+@query("a_entity_loop_files", f"{DAY}, {FAILING} SELECT 'f' || (event_id % 40)::VARCHAR AS file, count(*) AS steps, count(DISTINCT case_id) AS cases FROM g JOIN bad USING (case_id, pos) GROUP BY 1")
+def loop_files(spark, d):
+    return entities.loop_files(day_links(spark, d), mining.self_loops(day_cases(spark, d)))
+
+
+@query("a_entity_model_tools", f"{DAY}, {FAILING} SELECT 'm' || (split_part(case_id, ':', 1)::INT % 3)::VARCHAR AS model, name AS tool, count(*) AS calls, round(avg((name = 'error')::INT), 6) AS fail_rate, round(avg(((case_id, pos) IN (SELECT (case_id, pos) FROM bad))::INT), 6) AS in_failure_loops FROM g GROUP BY ALL HAVING count(*) >= 5")
+def model_tools(spark, d):
+    out = entities.model_tools(day_links(spark, d), mining.self_loops(day_cases(spark, d)))
+    return out.withColumn("fail_rate", F.round("fail_rate", 6)).withColumn("in_failure_loops", F.round("in_failure_loops", 6))
+
+
+@query("a_entity_projects", f"{DAY} SELECT 'p' || (split_part(case_id, ':', 1)::INT % 7)::VARCHAR AS project, count(*) AS cases, round(avg((outcome = 'completed')::INT), 6) AS completed FROM q GROUP BY 1 HAVING count(*) >= 2")
+def entity_projects(spark, d):
+    cases = day_cases(spark, d).withColumn("cwd", F.concat(F.lit("p"), (_user() % 7).cast("string")))
+    return entities.projects(cases).withColumn("completed", F.round("completed", 6))
 
 
 @query("s_loops_self", f"{DAY} SELECT case_id, name AS state, repeat AS iterations, pos::BIGINT AS start FROM s WHERE repeat >= 2")
@@ -256,7 +314,7 @@ def prefixspan(spark, d):
     return mining.closed(mining.prefixspan(day_cases(spark, d))).withColumn("pattern", F.array_join("pattern", " > "))
 
 
-@query("r_happy_path", f"{DAY.replace('WITH', 'WITH RECURSIVE', 1)}, c AS (SELECT source, target, count(*) AS n FROM t GROUP BY ALL), e AS (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS p FROM c), path AS (SELECT ['START'] AS p, 1.0::DOUBLE AS pr, 'START' AS here UNION ALL SELECT list_append(path.p, e.target), pr * e.p, e.target FROM path JOIN e ON e.source = here WHERE NOT list_contains(path.p, e.target) AND here <> 'END:completed') SELECT array_to_string(p, ' > ') AS path, round(pr, 9) AS probability FROM path WHERE here = 'END:completed' ORDER BY pr DESC LIMIT 1")
+@query("r_happy_path", f"{DAY.replace('WITH', 'WITH RECURSIVE', 1)}, step AS (SELECT source, target, count(*) AS n FROM t GROUP BY ALL), arc AS (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS p FROM step), path AS (SELECT ['START'] AS p, 1.0::DOUBLE AS pr, 'START' AS here UNION ALL SELECT list_append(path.p, arc.target), pr * arc.p, arc.target FROM path JOIN arc ON arc.source = here WHERE NOT list_contains(path.p, arc.target) AND here <> 'END:completed') SELECT array_to_string(p, ' > ') AS path, round(pr, 9) AS probability FROM path WHERE here = 'END:completed' ORDER BY pr DESC LIMIT 1")
 def happy_path(spark, d):
     path, p = traversal.happy_path(mining.edges(day_cases(spark, d)))
     return spark.createDataFrame([(" > ".join(path), round(p, 9))], "path string, probability double")
@@ -561,6 +619,68 @@ def work_edges(spark, d):
     return graphs.from_events(bridge.actions(spark, d)).edges.where("relation = 'next'").select("source", "target")
 
 
+def _paired(spark: SparkSession, d: str) -> DataFrame:
+    """The log with every even step as a call and every odd one as its result."""
+    e = sequence.positions(bridge.actions(spark, d))
+    return e.withColumn("kind", F.when(F.col("i") % 2 == 0, "tool_call").otherwise("tool_result")).withColumn("call_id", F.floor(F.col("i") / 2).cast("string")).drop("i")
+
+
+PAIRED = f"{LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ts, id) - 1 AS i FROM e)"
+
+
+@query("k_decision_episodes", f"{PAIRED} SELECT c.id, 'action' AS kind, CASE WHEN x.id IS NULL THEN 1 ELSE 2 END AS events, x.status FROM r c LEFT JOIN r x ON x.s = c.s AND x.i = c.i + 1 WHERE c.i % 2 = 0")
+def decision_episodes(spark, d):
+    return episodes.decision_trace(_paired(spark, d))[0].select("id", "kind", F.size("event_ids").alias("events"), "status")
+
+
+@query("k_decision_edges", f"{PAIRED} SELECT id AS source, lead(id) OVER (PARTITION BY s ORDER BY i) AS target, 'then' AS relation FROM r WHERE i % 2 = 0 QUALIFY target IS NOT NULL")
+def decision_edges(spark, d):
+    return episodes.decision_trace(_paired(spark, d))[1].where("relation = 'then'")
+
+
+@query("k_overview", f"{CHAT}, t AS (SELECT s, turn, role, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS x FROM m WHERE trim(text) <> '') SELECT m.s AS session_id, first(x ORDER BY t.turn) FILTER (t.role = 'user') AS first_prompt, first(x ORDER BY t.turn) FILTER (t.role = 'assistant') AS first_reply, last(x ORDER BY t.turn) FILTER (t.role = 'assistant') AS last_reply FROM (SELECT DISTINCT s FROM m) m LEFT JOIN t ON t.s = m.s GROUP BY m.s")
+def overviews(spark, d):
+    return episodes.overview(bridge.messages(spark, d), chars=1 << 20)
+
+
+# --------------------------------------------------------------------------- filters and values
+@query("p_filter_lists", f"{CHAT} SELECT id FROM m WHERE role IN ('user', 'system') AND contains(low, 'the') AND turn::VARCHAR <> ''")
+def filter_lists(spark, d):
+    return filters.search(bridge.chat_store(spark, d), "THE", roles=["user", "system"], kind="message").select("id")
+
+
+@query("p_filter_dates", f"{LOG} SELECT id FROM e JOIN p USING (s) WHERE started > TIMESTAMP '2024-01-01 03:00:00' AND started < TIMESTAMP '2024-01-01 18:00:00' AND status = 'failure' AND event_type = 'error'")
+def filter_dates(spark, d):
+    utc = lambda h: datetime(2024, 1, 1, h, tzinfo=UTC)
+    return filters.search(bridge.log_store(spark, d), after=utc(3), before=utc(18), status="failure", tool_names=["error"]).select("id")
+
+
+@query("p_filter_without_call", f"{CALLS} SELECT DISTINCT s AS id FROM n WHERE s NOT IN (SELECT s FROM n WHERE kind = 'tool_call' AND contains(props, '77'))")
+def filter_without_call(spark, d):
+    store = Store.of(_as_calls(spark, d))
+    return filters.Filters.of(without_call="77").sessions(store).select("id")
+
+
+@query("p_listing", f"{LOG}, x AS (SELECT s AS id, max(ts) AS ended FROM e GROUP BY s) SELECT id FROM x ORDER BY ended, id LIMIT 20 OFFSET 5")
+def listing(spark, d):
+    return filters.listing(bridge.log_store(spark, d).sessions, limit=20, offset=5).select("id")
+
+
+@query("f_token_estimate", "SELECT doc_id, (length(coalesce(text, '')) // 4)::BIGINT AS tokens FROM documents")
+def token_estimates(spark, d):
+    return bridge.read(spark, d, "documents").select("doc_id", values.token_estimate(F.col("text")).alias("tokens"))
+
+
+RELEASES = [("2024-01-01 05:00:00", "r1"), ("2024-01-01 12:30:00", "r2"), ("2024-01-02 00:00:00", "r3")]
+
+
+@query("d_release_in_force", f"WITH r AS (SELECT unnest({[t for t, _ in RELEASES]})::TIMESTAMP AS since, unnest({[n for _, n in RELEASES]}) AS release) SELECT event_id, release FROM events ASOF LEFT JOIN r ON ts >= since")
+def release_in_force(spark, d):
+    releases = spark.createDataFrame(RELEASES, "since string, release string").withColumn("since", F.to_timestamp("since"))
+    e = bridge.read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("started_at"))
+    return values.in_force(e, releases).select("event_id", "release")
+
+
 # --------------------------------------------------------------------------- cases
 def _log_cases(spark: SparkSession, d: str):
     """The log as agent work: signups prompt, purchases answer, clicks edit, views run tests, errors are their results."""

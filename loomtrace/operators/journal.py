@@ -84,7 +84,7 @@ def installation_drift(base: DataFrame, copies: DataFrame) -> DataFrame:
     """Three-way comparison of installed copies (holder, target, content) with their base (target, content): an edit
     wins; different edits conflict; a target is removed only if every holder lost it."""
     holders = copies.select("holder").distinct()
-    due = base.select("target", F.col("content").alias("original")).crossJoin(F.broadcast(holders))  # holders are harnesses
+    due = base.select("target", F.col("content").alias("original")).crossJoin(holders)  # a row for each holder and target is what is compared
     seen = due.join(copies, ["target", "holder"], "full")
     edited = F.col("content").isNotNull() & ~F.col("content").eqNullSafe(F.col("original"))
     facts = seen.groupBy("target").agg(F.collect_set(F.when(edited, F.col("content"))).alias("edits"), F.count_if(F.col("content").isNull()).alias("lost"), F.count("*").alias("n"), F.max("original").alias("original"))

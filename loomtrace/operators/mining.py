@@ -105,14 +105,16 @@ def entropy(counts: DataFrame, by: list[str], n: str = "n") -> DataFrame:
 
 def branching_entropy(seqs: DataFrame) -> DataFrame:
     """Per state the entropy, in bits, of what follows: over all, completed and failed cases."""
-    t = transitions(seqs).withColumn("side", F.when(F.col("outcome") == SUCCESS, "completed").otherwise("failed"))
-    sides = t.groupBy("source", "target", "side").agg(F.count("*").alias("n"))
-    whole = entropy(sides.groupBy("source", "target").agg(F.sum("n").alias("n")), ["source"])
-    part = lambda s: entropy(sides.where(F.col("side") == s), ["source"]).select("source", F.col("entropy").alias(f"entropy_{s}"))
-    visits = nodes(seqs).select(F.col("name").alias("source"), "visits")
-    out = whole.join(part("completed"), "source", "left").join(part("failed"), "source", "left").join(visits, "source")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.select(F.col("source").alias("state"), "visits", "entropy", (F.col("entropy") * F.col("visits")).alias("weighted"), zero("entropy_completed").alias("entropy_completed"), zero("entropy_failed").alias("entropy_failed"), "successors")
+    done = F.col("outcome") == SUCCESS
+    steps = transitions(seqs).groupBy("source", "target").agg(F.count("*").alias("whole"), F.count_if(done).alias("completed"), F.count_if(~done).alias("failed"))
+    # of counts n that sum to N, the entropy is log N - sum(n log n) / N
+    def bits(c: str) -> Column:
+        n, total = F.col(c), F.sum(c)
+        return F.when(total > 0, F.log2(total) - F.sum(F.when(n > 0, n * F.log2(n)).otherwise(0.0)) / total).otherwise(0.0)
+
+    # what leaves a state is as often as it is visited
+    out = steps.groupBy(F.col("source").alias("state")).agg(F.sum("whole").alias("visits"), bits("whole").alias("entropy"), bits("completed").alias("entropy_completed"), bits("failed").alias("entropy_failed"), F.count("*").alias("successors"))
+    return out.select("state", "visits", "entropy", (F.col("entropy") * F.col("visits")).alias("weighted"), "entropy_completed", "entropy_failed", "successors")
 
 
 def failure_sinks(seqs: DataFrame, least: int = 5) -> DataFrame:

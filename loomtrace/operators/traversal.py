@@ -41,11 +41,9 @@ def family_threads(runs: DataFrame, sessions: DataFrame, reference: str) -> Data
 def descendants(edges: DataFrame, root: DataFrame) -> DataFrame:
     """``node, depth`` below each start, by a recursive query; a forest only (``closure`` for graphs with cycles)."""
     spark = edges.sparkSession
-    edges.createOrReplaceTempView("loomtrace_edges")
-    root.createOrReplaceTempView("loomtrace_roots")
     return spark.sql("""WITH RECURSIVE down(node, depth) AS (
-        SELECT node, 0 FROM loomtrace_roots UNION ALL
-        SELECT e.b, depth + 1 FROM loomtrace_edges e JOIN down ON e.a = down.node) SELECT node, depth FROM down""")
+        SELECT node, 0 FROM {roots} UNION ALL
+        SELECT e.b, depth + 1 FROM {arcs} e JOIN down ON e.a = down.node) SELECT node, depth FROM down""", roots=root, arcs=edges)
 
 
 def reaches(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:

@@ -266,7 +266,7 @@ class Compiler:
 
 
 def run(store: Store, text: str | Query, *, now: datetime | None = None, limit: int | None = None, offset: int = 0, default_limit: int | None = None, within: DataFrame | None = None) -> DataFrame:
-    """The units a query selects, in order (column ``rank`` from 1).
+    """The units a query selects, in order.
 
     limit: at most so many, before the query's own ``count:`` and ``default_limit``.  within: event ids to which the
     query is restricted.  Lexical event queries order by relevance, everything else newest session first.

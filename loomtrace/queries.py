@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from .functions import labels, outline, redaction, values
 from .functions.text import word_tokens
 from .model import Store
 from .operators import entities, episodes, mining, ratings, sequence, statistics, traversal
-from .operators.checkpoint import cut
+from .operators.checkpoint import cut, shared_folder
 from .plans import compiler, filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -681,6 +682,36 @@ def release_in_force(spark, d):
     return values.in_force(e, releases).select("event_id", "release")
 
 
+# --------------------------------------------------------------------------- transcripts
+def _exported(harness: str):
+    """Conversations and the paired log, written as a harness's transcripts and read again."""
+
+    def run(spark, d):
+        from .sources import transcript_export, transcripts
+
+        folder = f"{shared_folder(spark)}/loomtrace-{harness}-{uuid4().hex}"
+        events = bridge.messages(spark, d).unionByName(_paired(spark, d).drop("ts"))
+        transcript_export.write(transcript_export.export(events, harness, strict=False), folder)
+        rows = transcripts.events_of(transcripts.read(spark, harness, folder, glob="part-*")).where("kind <> 'metadata'")
+        w = Window.partitionBy("session_id").orderBy("byte_offset", "subrecord")
+        return rows.select("session_id", F.row_number().over(w).alias("n"), "kind", "role", F.when(F.col("kind") == "tool_call", F.col("tool_name")).otherwise(F.col("text")).alias("said"), "status")
+
+    return run
+
+
+def _as_written(system: str, outcome: str) -> str:
+    """What comes back: messages, calls and results of each session in order."""
+    return f"""{PAIRED}, m AS (SELECT conv_id::VARCHAR AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text FROM conversations),
+every AS (SELECT s, 0 AS part, n, 'message' AS kind, CASE WHEN role = 'system' THEN {system} ELSE role END AS role, text AS said, NULL AS status, role = 'system' AS sys FROM m
+UNION ALL SELECT s, 1, i + 1, CASE WHEN i % 2 = 0 THEN 'tool_call' ELSE 'tool_result' END, CASE WHEN i % 2 = 0 THEN 'assistant' ELSE 'tool' END, CASE WHEN i % 2 = 0 THEN event_type ELSE props END, CASE WHEN i % 2 = 1 THEN {outcome} END, false FROM r)
+SELECT s AS session_id, row_number() OVER (PARTITION BY s ORDER BY part, n) AS n, kind, role, CASE WHEN sys AND role = 'user' THEN '[system message]' || chr(10) || said ELSE said END AS said, status FROM every"""
+
+
+FAIL_ONLY, BOTH = "CASE WHEN status = 'failure' THEN 'failure' END", "status"
+for _h, _system, _status in (("claude", "'user'", FAIL_ONLY), ("codex", "'system'", BOTH), ("pi", "'system'", FAIL_ONLY), ("opencode", "'system'", BOTH), ("antigravity", "'system'", BOTH)):
+    query(f"x_transcripts_{_h}", _as_written(_system, _status))(_exported(_h))
+
+
 # --------------------------------------------------------------------------- cases
 def _log_cases(spark: SparkSession, d: str):
     """The log as agent work: signups prompt, purchases answer, clicks edit, views run tests, errors are their results."""

@@ -61,6 +61,38 @@ ask("q_status_action", "status:success action:log.click", f"{LOG} SELECT id FROM
 ask("q_tool_or_session", "tool:purchase or session.is:7", f"{LOG} SELECT id FROM e WHERE event_type = 'purchase' OR starts_with(s, '7')", store=bridge.log_store)
 
 
+def judged_store(spark: SparkSession, d: str) -> Store:
+    """The log in three folders, later users as children of earlier ones, large values tagged, every fourth user reflected
+    on with three ratings."""
+    e, u = bridge.read(spark, d, "events"), F.col("user_id")
+    events = bridge.actions(spark, d).withColumn("cwd", F.concat(F.lit("/w/p"), (F.col("session_id").cast("int") % 3).cast("string"), F.lit("/src")))
+    events = events.withColumn("parent_run_id", F.when(F.col("session_id").cast("int") > 75, (F.col("session_id").cast("int") - 75).cast("string")))
+    tags = e.where("value > 100").select(F.col("event_id").cast("string").alias("event_id"), F.when(F.col("value") > 200, "big:gold").otherwise("big").alias("tag"), F.lit(None).cast("string").alias("ref"))
+    text = lambda c: c.cast("string")
+    r = e.select("user_id").distinct().where("user_id % 4 = 0").select(F.concat(F.lit("r"), text(u)).alias("id"), text(u).alias("session_id"), text(u).alias("thread_id"), F.lit("2024-02-01T00:00:00Z").alias("at"), F.when(u % 8 == 0, "judge").otherwise("coach").alias("prompt_name"), text(u % 3).alias("prompt_version"), F.concat(F.lit("p_"), F.lpad(text(u), 4, "0")).alias("prompt_hash"), F.lit("s1").alias("schema_hash"), F.concat(F.lit("a"), text(u % 5)).alias("asked"), F.concat(F.lit("rev"), F.when(u % 3 == 0, "").otherwise(F.concat(F.lit("@"), text(u % 3)))).alias("revision"), F.when(u % 12 == 0, "handoff").otherwise("attached").alias("mode"), F.lit("After a Failure").alias("trigger"), F.lit("claude").alias("reflector_harness"), F.lit("m1").alias("model"))
+    what = F.array(*(F.struct(F.lit(t).alias("target"), F.lit(scale).alias("scale"), rating.alias("rating")) for t, scale, rating in (("skill:review", "quality", F.when(F.col("session_id").cast("int") % 16 == 0, "good").otherwise("bad")), ("skill_file:deploy/run.sh", "quality", F.lit("good")), ("hook:stop", "failure", F.when(F.col("session_id").cast("int") % 5 == 0, "loop").otherwise("none")))))
+    ratings_ = r.select(F.col("id").alias("reflection_id"), F.explode(what).alias("x")).select("reflection_id", F.lit("i").alias("item"), F.lit(None).cast("string").alias("ref"), "x.target", "x.scale", "x.rating")
+    return Store.of(events, tags=tags, reflections=r, ratings=ratings_)
+
+
+USERS = "WITH u AS (SELECT DISTINCT user_id AS u FROM events), r AS (SELECT u, 'r' || u::VARCHAR AS id FROM u WHERE u % 4 = 0)"
+for _name, _text, _sql in (
+        ("q_tag", "tag:big", "SELECT event_id::VARCHAR AS id FROM events WHERE value > 100"),
+        ("q_tag_below", "tag:big:gold -role:user", "SELECT event_id::VARCHAR AS id FROM events WHERE value > 200"),
+        ("q_cwd", "cwd:/w/p1 select:session", f"{USERS} SELECT u::VARCHAR AS id FROM u WHERE u % 3 = 1"),
+        ("q_at_child", "at:child select:thread", f"{USERS} SELECT u::VARCHAR AS id FROM u WHERE u > 75"),
+        ("q_family", "(family:3 or family:80) select:thread", f"{USERS} SELECT u::VARCHAR AS id FROM u WHERE starts_with((CASE WHEN u > 75 THEN u - 75 ELSE u END)::VARCHAR, '3') OR u IN (5, 80)"),
+        ("q_reflected", "reflected:no cwd:/w select:session", f"{USERS} SELECT u::VARCHAR AS id FROM u WHERE u % 4 <> 0"),
+        ("q_prompt", "prompt:judge@1 select:reflection", f"{USERS} SELECT id FROM r WHERE u % 8 = 0 AND u % 3 = 1"),
+        ("q_prompt_hash", "prompt:p_00 trigger:failure select:reflection", f"{USERS} SELECT id FROM r WHERE u < 100"),
+        ("q_revision", "revision:rev -mode:handoff select:reflection", f"{USERS} SELECT id FROM r WHERE u % 12 <> 0"),
+        ("q_revision_version", "revision:rev@2 asked:a1 select:session", f"{USERS} SELECT u::VARCHAR AS id FROM r WHERE u % 3 = 2 AND u % 5 = 1"),
+        ("q_target_rated", "target:skill:review rated:good select:reflection", f"{USERS} SELECT id FROM r WHERE u % 16 = 0"),
+        ("q_target_skill_file", "target:skill:deploy select:session", f"{USERS} SELECT u::VARCHAR AS id FROM r"),
+        ("q_failure", "failure:loop select:session", f"{USERS} SELECT u::VARCHAR AS id FROM r WHERE u % 5 = 0")):
+    ask(_name, _text, _sql, store=judged_store)
+
+
 @query("q_match_ranges", f"{CHAT}, k AS (SELECT id, low, unnest(range(1, len(low) - 3)) AS i FROM m WHERE contains(low, 'thand') AND {TALK}) SELECT id, string_agg((i - 1)::VARCHAR || '-' || (i + 4)::VARCHAR, ',' ORDER BY i) AS ranges FROM k WHERE substr(low, i, 5) = 'thand' GROUP BY id")
 def match_ranges(spark, d):
     rows = compiler.run(bridge.chat_store(spark, d), "thand")

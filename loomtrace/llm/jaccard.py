@@ -488,7 +488,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     listed = lists.where("v IS NOT NULL").groupBy("v").agg(F.sum("keys").alias("keys"), F.min("need").alias("need"))
     active = cut(listed.where("keys >= need").select("v"))
     # one document stands for each vertex left; its text is read again for the bitmap and the set
-    reps = per_doc.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    reps = per_doc.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
     chosen = cut(reps.join(maybe_broadcast(active, 24), "v").select("v", "rep"))
     nameless = not chosen.where("rep IS NULL").isEmpty()
 
@@ -550,4 +550,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = reps.join(linked.withColumnRenamed("node", "v"), "v", "left").select("v", F.coalesce("component", "v").alias("c"), "rep")
     names = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     known = named.join(names, "c").select("v", "component_id")
-    return per_doc.join(known, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # a set that very many documents share is looked up where they are: there are at most 4 * parts such sets
+    often = reps.where(F.col("copies") * F.lit(4 * parts) > per_doc.count()).select("v")
+    hot = F.broadcast(cut(known.join(often, "v")))
+    out = per_doc.join(hot, "v").unionByName(per_doc.join(hot, "v", "left_anti").join(known, "v", "left"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -1,4 +1,7 @@
-"""One query for each operator over its whole table, and SQL where SQL can say the same."""
+"""One query for each operator over its whole table; SQL where SQL can say the same is in ``oracles``.
+
+A row without doc_id has no fold: its ``held_out`` is null, and it is used for no fit.
+"""
 
 from __future__ import annotations
 

@@ -36,7 +36,8 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = marked.groupBy(row).agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
     known = cut(ids.join(groups.distinct(), row))
     first = known.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", row)).alias("first"))
-    gone = cut(known.join(first, "component_id").where(F.col(row) != F.col(f"first.{row}")).select(row))
+    # who stays is known by row, so that no task gathers a large group
+    gone = cut(known.select(row).join(first.select(F.col(f"first.{row}").alias(row)), row, "left_anti"))
     kept = marked.join(maybe_broadcast(gone, 16), row, "left_anti")
     twice = maybe_broadcast(cut(known.where("rows > 1").select(row)), 16)
     once = kept.join(twice, row, "left_anti").unionByName(kept.join(twice, row, "left_semi").dropDuplicates([row]))

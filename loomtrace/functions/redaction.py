@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,16 +42,51 @@ def rules(literals: Iterable[str] = (), patterns: Iterable[str] = ()) -> list[tu
     return [*out, ("assignment", ASSIGNMENT, "$1$2[REDACTED:assignment]"), ("home", HOME, "$1user")]
 
 
+#: Texts of which one is in every match of a rule, in lower case; a text without any of them is passed over.
+HINTS = {
+    "private-key": ("private key-----",), "aws-key": ("akia", "asia"), "github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), "gitlab-token": ("glpat-",), "anthropic-key": ("sk-ant-",), "openai-key": ("sk-",), "google-key": ("aiza",),
+    "slack-token": ("xox",), "stripe-key": ("k_live_", "k_test_"), "npm-token": ("npm_",), "jwt": ("eyj",), "url-credentials": ("://",), "assignment": ("password", "passwd", "secret", "token", "api", "access", "private", "credential"), "home": ("/users/", "/home/"),
+}
+
+
+def _once(text: Column, make) -> Column:
+    """``make`` of a text that is bound first, so that the steps before it are done once."""
+    return F.get(F.transform(F.array(text), make), F.lit(0))
+
+
+def _hinted(kind: str, text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in HINTS[kind])) if kind in HINTS else F.lit(True)
+
+
+def environment_values(environment: Mapping[str, str] | None = None) -> list[str]:
+    """Values of variables whose names say secret, as literals to take out; those of the driver's own by default."""
+    named = re.compile(f"(?i)^{NAME}$")
+    return [v for k, v in (os.environ if environment is None else environment).items() if named.match(k) and len(v) >= 8]
+
+
 def redacted(text: Column, literals: Iterable[str] = (), patterns: Iterable[str] = ()) -> Column:
-    for _, pattern, replacement in rules(literals, patterns):
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+    for kind, pattern, replacement in rules(literals, patterns):
+        text = _once(text, _replacing(kind, pattern, replacement))
     return text
 
 
+def _replacing(kind: str, pattern: str, replacement: str):
+    return lambda t: F.when(_hinted(kind, t), F.regexp_replace(t, F.lit(pattern), F.lit(replacement))).otherwise(t)
+
+
 def redaction_counts(text: Column, literals: Iterable[str] = (), patterns: Iterable[str] = ()) -> Column:
     """Map of kind to number of replacements, kinds without any left out."""
-    pairs = []
+    state = F.struct(text.alias("t"), F.array().cast("array<struct<k:string,n:int>>").alias("found"))
     for kind, pattern, replacement in rules(literals, patterns):
-        pairs.append(F.struct(F.lit(kind).alias("k"), F.regexp_count(text, F.lit(pattern)).alias("n")))
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
-    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["n"] > 0))
+        state = _once(state, _counting(kind, pattern, replacement))
+    return F.map_from_entries(_once(state, lambda s: s["found"]))
+
+
+def _counting(kind: str, pattern: str, replacement: str):
+    def step(s: Column) -> Column:
+        n = F.when(_hinted(kind, s["t"]), F.regexp_count(s["t"], F.lit(pattern))).otherwise(F.lit(0))
+        more = F.array(F.struct(F.lit(kind).alias("k"), n.alias("n")))
+        return F.struct(_replacing(kind, pattern, replacement)(s["t"]).alias("t"), F.concat(s["found"], F.filter(more, lambda x: x["n"] > 0)).alias("found"))
+
+    return step

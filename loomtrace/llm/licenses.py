@@ -80,7 +80,9 @@ def _units(text: Column) -> Column:
 
 def _pairs(unit: Column) -> Column:
     words = F.filter(F.split(unit, "[^a-z0-9]+"), lambda w: w != "")
-    return F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    # an array of one binds the words, so that a unit is split once
+    return F.get(F.transform(F.array(words), pairs), F.lit(0))
 
 
 def _best_run(p: Column, t: Column) -> Column:

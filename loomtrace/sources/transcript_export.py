@@ -116,6 +116,9 @@ def export(events: DataFrame, target: str = "canonical", *, strict: bool = True)
 
 
 def write(lines: DataFrame, folder: str) -> None:
-    """A folder of JSON Lines for each session, its lines in order."""
-    one = lines.repartition("session_id").sortWithinPartitions("session_id", "n")
+    """A folder of JSON Lines for each session, one file with its lines in order.
+
+    Dealt by a hash of the session: by the session itself, Spark leaves the exchange out where both sides of a union are
+    dealt by it already, and adaptive execution then merges the partitions of the sides differently."""
+    one = lines.repartition(F.xxhash64("session_id")).sortWithinPartitions("session_id", "n")
     one.select("session_id", "value").write.partitionBy("session_id").text(folder)

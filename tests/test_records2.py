@@ -1,12 +1,13 @@
 """Exports and their round trips, skills, registered sources, filters, episodes and values, on small fixtures."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomtrace.functions import values
-from loomtrace.model import Store
+from loomtrace.model import EVENT, Store
 from loomtrace.operators import episodes, skills
 from loomtrace.plans.filters import Filters, search
 from loomtrace.sources import registry, transcript_export, transcripts
@@ -116,3 +117,23 @@ def test_values(spark):
     assert tuple(row) == (60.0, 0.0, None, False, True, "5", True, 2)
     ids = spark.sql("SELECT timestamp'2024-01-01' AS a, timestamp'2024-01-02' AS b").select(values.entry_id(F.col("a"), F.lit("x")), values.entry_id(F.col("b"), F.lit("a"))).first()
     assert ids[0] < ids[1] and values.fingerprint("p", {"a": 1, "b": 2}) == values.fingerprint("p", {"b": 2, "a": 1})
+
+
+@pytest.mark.parametrize("target", ["codex"])
+def test_a_session_is_one_file_that_begins_with_its_opening(spark, tmp_path, target):
+    rows = [dict(id=f"{s}-{n}", source_id="a", harness="h", session_id=f"s{s}", run_id=f"s{s}", path=f"s{s}", generation=0, byte_offset=n, subrecord=0, kind="message", role="user", text=hashlib.sha512(f"{s} {n}".encode()).hexdigest()) for s in range(40) for n in range(30)]
+    e = spark.createDataFrame([tuple(r.get(f.split()[0]) for f in EVENT.split(", ")) for r in rows], EVENT)
+    small = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = [(k, spark.conf.get(k, None)) for k in small]
+    try:
+        for k, v in zip(small, ("16", "4k", "1k", "false"), strict=True):
+            spark.conf.set(k, v)
+        transcript_export.write(transcript_export.export(e, target), str(tmp_path / "out"))
+    finally:
+        for k, v in before:
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for s in range(40):
+        files = list((tmp_path / "out" / f"session_id=s{s}").glob("part-*"))
+        assert len(files) == 1
+        lines = files[0].read_text().splitlines()
+        assert len(lines) == 31 and json.loads(lines[0])["type"] in ("session_meta", "session")

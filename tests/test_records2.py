@@ -119,7 +119,7 @@ def test_values(spark):
     assert ids[0] < ids[1] and values.fingerprint("p", {"a": 1, "b": 2}) == values.fingerprint("p", {"b": 2, "a": 1})
 
 
-@pytest.mark.parametrize("target", ["codex"])
+@pytest.mark.parametrize("target", ["codex", "pi"])
 def test_a_session_is_one_file_that_begins_with_its_opening(spark, tmp_path, target):
     rows = [dict(id=f"{s}-{n}", source_id="a", harness="h", session_id=f"s{s}", run_id=f"s{s}", path=f"s{s}", generation=0, byte_offset=n, subrecord=0, kind="message", role="user", text=hashlib.sha512(f"{s} {n}".encode()).hexdigest()) for s in range(40) for n in range(30)]
     e = spark.createDataFrame([tuple(r.get(f.split()[0]) for f in EVENT.split(", ")) for r in rows], EVENT)

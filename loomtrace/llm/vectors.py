@@ -4,8 +4,9 @@ Unit vectors with cosine c are at squared distance 2-2c.  A fixed rotation sprea
 coordinates, which are split into blocks; if the whole squared distance is within budget, at least one block's is
 within its proportional share.  Each block is range-joined on a grid of its first coordinates, whose cells are as wide
 as the block's radius: a vector is at home in one cell and a probe in those later ones that its ball reaches.
-Cells that hold too many vectors are parted by the block's next coordinates, again by reach.  A pair is taken in the
-first block that qualifies, so nothing is counted twice, and the union of the candidates is verified by the cosine of
+Cells that hold too many vectors are parted by the block's next coordinates, again by reach.  The vectors of a label are
+dealt to chunks, a file each in the shared folder, and a task joins two chunks in all blocks: each vector is written
+once, however many cells it reaches or chunks its label has.  A pair is taken in the first block that qualifies, so nothing is counted twice, and the union of the candidates is verified by the cosine of
 the vectors as they were given, in double precision.
 
 Vectors without any structure fill so few cells of a block that most pairs of a label meet in some cell; there the
@@ -14,22 +15,27 @@ join costs one small matrix product a block, and it is the block's budget that l
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, in_batches, maybe_broadcast
+from .common import checkpoint_dir, components, cut, in_batches, maybe_broadcast
+from .warc import opened
 
 #: Blocks of a vector, coordinates of a block that one level of its grid takes, and slack for rounding.
 BLOCKS, GRID, SLACK = 4, 2, 1e-9
-#: Vectors of a cell that one task compares; larger cells are parted further, and dealt out as pairs of chunks where a
-#: block has no coordinates left.
-CELL = 16384
+#: Vectors of a chunk on average at most; a label of more than SHARE vectors is dealt to up to SPREAD chunks even so, for
+#: more tasks. Cells of more than half a chunk are parted by the block's next coordinates.
+CELL, SHARE, SPREAD = 16384, 1024, 8
 #: Rows of a matrix of distances that are looked at together.
 ROWS = 512
 
@@ -67,9 +73,6 @@ def unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.float32 if b[0] == 4 else np.float64, offset=1).astype(np.float64)
 
 
-CELLS = "cell string, node bigint, copies bigint, home boolean, used double, vec binary"
-
-
 def _parted(y: np.ndarray, block: slice, level: int, width: float, home: np.ndarray, used: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, cells, home, squared distance from each row to the cell) of one level of a block's grid: the own cell and
     the neighbours that a row's ball reaches, for a row at home only later ones."""
@@ -87,51 +90,24 @@ def _parted(y: np.ndarray, block: slice, level: int, width: float, home: np.ndar
             yield at, own[at] + off, home[at] & (off == zero), gap[at]
 
 
-def _cells(threshold: float, whole: bool):
-    """Each vector in the cells of the first level of every block; just the cells' names unless ``whole``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, label, vec = batch.column(0).to_numpy(), batch.column(3).to_pylist(), batch.column(1).to_pylist()
-            size = np.array([len(v) for v in vec])
-            packed = pa.array([pack(v) for v in vec], pa.binary())
-            for d in np.unique(size).tolist():
-                here = np.flatnonzero(size == d)
-                y = rotated(np.array([vec[k] for k in here.tolist()], np.float64))
-                for b, s in enumerate(split(d)):
-                    for at, cells, home, used in _parted(y, s, 0, radius(threshold, s, d), np.ones(len(y), bool), np.zeros(len(y))):
-                        names = [f"{d}:{b}:0:{label[k]}:{':'.join(map(str, c))}" for k, c in zip(here[at].tolist(), cells.tolist(), strict=True)]
-                        if not whole:
-                            yield pa.RecordBatch.from_arrays([pa.array(names)], ["cell"])
-                            continue
-                        rows = pa.array(here[at])
-                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(node[here[at]]), batch.column(2).take(rows), pa.array(home), pa.array(used), packed.take(rows)], ["cell", "node", "copies", "home", "used", "vec"])
-
-    return run
-
-
 def radius(threshold: float, block: slice, d: int) -> float:
     return float(np.sqrt((2 - 2 * threshold) * (block.stop - block.start) / d) * (1 + 1e-6) + 1e-6)
 
 
-def _deeper(threshold: float):
-    """Members of cells that hold too many, in the cells of the next level."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, vec = batch.column(0).to_pylist(), batch.column(5).to_pylist()
-            plan = [tuple(map(int, c.split(":", 3)[:3])) for c in cell]
-            for d, b, level in sorted(set(plan)):
-                here = np.array([k for k, p in enumerate(plan) if p == (d, b, level)])
-                y = rotated(np.stack([unpack(vec[k]) for k in here.tolist()]))
-                s = split(d)[b]
-                home, used = batch.column(3).to_numpy(zero_copy_only=False)[here], batch.column(4).to_numpy()[here]
-                for at, cells, own, gap in _parted(y, s, level + 1, radius(threshold, s, d), home, used):
-                    names = [f"{d}:{b}:{level + 1}:{cell[k].split(':', 3)[3]}:{':'.join(map(str, c))}" for k, c in zip(here[at].tolist(), cells.tolist(), strict=True)]
-                    rows = pa.array(here[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(names), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(own), pa.array(gap), batch.column(5).take(rows)], ["cell", "node", "copies", "home", "used", "vec"])
-
-    return run
+def _met(y: np.ndarray, block: slice, level: int, width: float, crowd: int, at: np.ndarray, home: np.ndarray, used: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, home) of each cell of a block; crowded cells are parted by the next coordinates, as far as the block has any."""
+    found = [*_parted(y[at], block, level, width, home, used)]
+    rows, own, gap = (np.concatenate([f[k] for f in found]) for k in (0, 2, 3))
+    cell = np.unique(np.concatenate([f[1] for f in found]), axis=0, return_inverse=True)[1].reshape(-1)
+    order = np.argsort(cell, kind="stable")
+    deeper = (level + 1) * GRID < block.stop - block.start
+    for one in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+        if not own[one].any():
+            continue
+        if deeper and len(one) > crowd:
+            yield from _met(y, block, level + 1, width, crowd, at[rows[one]], own[one], gap[one])
+        else:
+            yield at[rows[one]], own[one]
 
 
 def _merge(low: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -153,18 +129,18 @@ def _merge(low: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 class Cell:
     """The vectors of a cell, and its pairs that are within the block's budget."""
 
-    def __init__(self, x: np.ndarray, block: int, threshold: float):
-        self.x, y, d = scaled(x), rotated(x), x.shape[1]
+    def __init__(self, x: np.ndarray, block: int, threshold: float, y: np.ndarray | None = None):
+        self.x, y, d = scaled(x), rotated(x) if y is None else y, x.shape[1]
         self.norm = np.linalg.norm(self.x, axis=1)
         self.threshold = threshold
         self.parts = [(np.ascontiguousarray(y[:, s]), (2 - 2 * threshold) * (s.stop - s.start) / d + SLACK) for s in split(d)[: block + 1]]
+        self.small = self.parts[-1][0].astype(np.float32)
+        self.square = np.square(self.small).sum(axis=1)
         self.met = self.candidates = 0
 
     def pairs(self, rows: np.ndarray, others: np.ndarray, upper: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links between ``rows`` and ``others``; with ``upper``, rows are the first of others and come once each."""
-        y, share = self.parts[-1]
-        small = y.astype(np.float32)
-        square = np.square(small).sum(axis=1)
+        share, small, square = self.parts[-1][1], self.small, self.square
         for a in range(0, len(rows), ROWS):
             i = rows[a : a + ROWS]
             j = others[a:] if upper else others
@@ -189,28 +165,83 @@ class Cell:
                     yield u[link], v[link]
 
 
-def _pairs(threshold: float):
-    def links(table: pa.Table) -> pa.Table:
-        block = int(table.column("cell")[0].as_py().split(":", 2)[1])
-        node, copies, home, chunk = (table.column(c).to_numpy() for c in ("node", "copies", "home", "chunk"))
-        cell = Cell(np.stack([unpack(b) for b in table.column("vec").to_pylist()]), block, threshold)
-        got, low = np.zeros(len(node), np.int64), np.arange(len(node))
-        at = np.arange(len(node))
-        if chunk.min() == chunk.max():
-            order = np.concatenate([at[home], at[~home]])
-            found = [(order[: int(home.sum())], order, True)]
-        else:
-            one = chunk == chunk.min()
-            found = [(at[one & home], at[~one], False), (at[~one & home], at[one & ~home], False)]
-        for rows, others, upper in found:
-            for u, v in cell.pairs(rows, others, upper):
-                got += np.bincount(u, copies[v], len(got)).astype(np.int64) + np.bincount(v, copies[u], len(got)).astype(np.int64)
-                low = _merge(low, u, v)
-        linked, tied = np.flatnonzero(got), np.flatnonzero(low != at)
-        column = lambda one, other: pa.concat_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())])
-        return pa.table({"node": column(node[linked], node[tied]), "links": column(got[linked], [None] * len(tied)), "other": column([None] * len(linked), node[low[tied]])})
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, label, vec``: vectors as bytes, with one zero only."""
+    for batch in batches:
+        vec = pa.array([pack(np.asarray(v, np.float64) + 0.0) for v in batch.column(2).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vec], ["node", "label", "vec"])
+
+
+def _links(threshold: float, crowd: int):
+    """Links of pairs of chunks ``a, b`` (paths): what each node links with in number, and what ties nodes together."""
+
+    def read(path: str) -> pa.Table:
+        with opened(path) as f:
+            return pq.read_table(f, columns=["node", "copies", "label", "vec"])
+
+    def joined(x: np.ndarray, first: np.ndarray, copies: np.ndarray, upper: bool) -> tuple[np.ndarray, np.ndarray]:
+        y, d, at = rotated(x), x.shape[1], np.arange(len(x))
+        got, low = np.zeros(len(x), np.int64), at
+        for b, s in enumerate(split(d)):
+            cell = Cell(x, b, threshold, y)
+            for rows, home in _met(y, s, 0, radius(threshold, s, d), crowd, at, np.ones(len(x), bool), np.zeros(len(x))):
+                own, probe = rows[home], rows[~home]
+                if upper:
+                    found = [(own, np.concatenate([own, probe]), True)]
+                else:
+                    one, other = first[own], first[probe]
+                    found = [(own[one], np.concatenate([own[~one], probe[~other]]), False), (own[~one], probe[other], False)]
+                for u, v in (pair for f in found for pair in cell.pairs(*f)):
+                    got += np.bincount(u, copies[v], len(got)).astype(np.int64) + np.bincount(v, copies[u], len(got)).astype(np.int64)
+                    low = _merge(low, u, v)
+        return got, low
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = [read(p) for p in ([a] if a == b else [a, b])]
+                table = pa.concat_tables(held)
+                node, copies, label = table.column("node").to_numpy(), table.column("copies").to_numpy(), table.column("label").combine_chunks().dictionary_encode()
+                label = (label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy()
+                first = np.arange(len(node)) < len(held[0])
+                vec = table.column("vec").to_pylist()
+                sort = np.stack([label, [(len(v) - 1) // v[0] for v in vec]], axis=1)
+                for one in np.unique(sort, axis=0):
+                    here = np.flatnonzero((sort == one).all(axis=1))
+                    if len(here) < 2 or (a != b and first[here].all() | ~first[here].any()):
+                        continue
+                    got, low = joined(np.stack([unpack(vec[k]) for k in here.tolist()]), first[here], copies[here], a == b)
+                    ids = node[here]
+                    linked, tied = np.flatnonzero(got), np.flatnonzero(low != np.arange(len(ids)))
+                    if len(linked):
+                        column = lambda x, y: pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())])
+                        yield pa.RecordBatch.from_arrays([column(ids[linked], ids[tied]), column(got[linked], [None] * len(tied)), column([None] * len(linked), ids[low[tied]])], ["node", "links", "other"])
 
-    return links
+    return run
+
+
+def _chunks(reps: DataFrame, counts: DataFrame) -> list[str]:
+    """Files of a chunk each in the shared folder, of distinct vectors dealt by a hash; a label of up to SHARE vectors is
+    whole in a bundle with others.  ``counts``: label, n (copies counted, so that chunks are rather too small)."""
+    spark, cell, share, spread = reps.sparkSession, CELL, min(SHARE, CELL), SPREAD
+    small = counts.where(F.col("n") <= share).agg(F.sum("n")).first()[0] or 0
+    bundles = -(-small // share) or 1
+    sizes = cut(counts.where(F.col("n") > share).withColumn("s", F.greatest(F.ceil(F.col("n") / cell), F.least(F.lit(spread), F.ceil(F.col("n") / share))).cast("int")).select("label", "s"))
+    dealt = reps.join(maybe_broadcast(sizes, 96), "label", "left")
+    key = F.when(F.col("s").isNull(), F.concat(F.lit("b"), F.pmod(F.xxhash64("label"), F.lit(bundles)))).otherwise(F.concat(F.lit("l"), F.hex(F.xxhash64("label")), F.lit("c"), F.pmod(F.xxhash64("node"), "s")))
+    folder = f"{checkpoint_dir(spark)}/vectors-{uuid4().hex}"
+    # by a hash of the chunk, so that the exchange is never left out and a chunk is one file
+    dealt.select("node", "copies", "label", "vec", key.alias("chunk")).repartition(F.xxhash64("chunk")).sortWithinPartitions("chunk").write.partitionBy("chunk").option("maxRecordsPerFile", 0).parquet(folder)
+    return sorted(spark.read.schema("node bigint, chunk string").parquet(folder).inputFiles())
+
+
+def _pairs(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Pairs ``a, b`` of chunks of one label, and each bundle with itself."""
+    named = [(p, *re.search(r"/chunk=(b\d+|l[0-9A-F]+)c?(\d*)/", p).groups()) for p in files]
+    one = spark.createDataFrame([(g, p) for p, g, _ in named], "g string, a string")
+    pairs = one.join(one.withColumnRenamed("a", "b"), "g").where("a <= b").select("a", "b")
+    n = Counter(g for _, g, _ in named)
+    return pairs.repartition(max(1, min(4096, sum(k * (k + 1) // 2 for k in n.values()) // 4)))
 
 
 def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93) -> DataFrame:
@@ -226,33 +257,10 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     usable = F.coalesce(F.col("label").isNotNull() & finite, F.lit(False))
     node = F.when(usable, F.xxhash64("label", "v"))
     rows = rows.withColumn("node", node)
-    reps = cut(rows.where("node IS NOT NULL").groupBy("node", "label", "v").agg(F.count("*").alias("copies")).select("node", "v", "copies", "label"))
-    # making cells anew costs less than writing every vector once more just to count them
-    cells = in_batches(reps, _cells(threshold, True), CELLS, rows=256)
-    named = in_batches(reps, _cells(threshold, False), "cell string", rows=256)
-    ready: list[DataFrame] = []
-    while True:
-        # cells that hold too many are parted by the next coordinates, as long as their block has any
-        big = cut(named.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL).withColumn("s", F.ceil(F.col("n") / F.lit(CELL)).cast("int")))
-        part = F.split("cell", ":")
-        d, block, level = (part[k].cast("int") for k in range(3))
-        blocks = F.least(F.lit(BLOCKS), d)
-        wide = F.floor((block + 1) * d / blocks) - F.floor(block * d / blocks)
-        more = cut(big.where((level + 1) * GRID < wide))
-        if more.isEmpty():
-            ready.append(cells.join(maybe_broadcast(big.select("cell", "s"), 96), "cell", "left"))
-            break
-        shared = maybe_broadcast(more.select("cell"), 96)
-        rest = cells.join(shared, "cell", "left_anti")
-        ready.append(rest.join(maybe_broadcast(big.join(more, "cell", "left_anti").select("cell", "s"), 96), "cell", "left"))
-        cells = cut(in_batches(cells.join(shared, "cell", "left_semi").select("cell", "node", "copies", "home", "used", "vec"), _deeper(threshold), CELLS, rows=1024))
-        named = cells
-    dealt = ready[0]
-    for x in ready[1:]:
-        dealt = dealt.unionByName(x)
-    dealt = dealt.withColumn("s", F.coalesce("s", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
-    dealt = dealt.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.least("chunk", j) * F.col("s") + F.greatest("chunk", j))))
-    found = cut(dealt.select("cell", "pair", "node", "copies", "home", "vec", "chunk").groupBy("cell", "pair").applyInArrow(_pairs(threshold), "node bigint, links bigint, other bigint"))
+    packed = in_batches(rows.where("node IS NOT NULL").select("node", "label", "v"), _packed, "node bigint, label string, vec binary")
+    counts = cut(rows.where("node IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")))
+    files = _chunks(packed.groupBy("node", "label", "vec").agg(F.count("*").alias("copies")), counts)
+    found = cut(_pairs(vectors.sparkSession, files).mapInArrow(_links(threshold, CELL // 2), "node bigint, links bigint, other bigint"))
     tied = components(found.where("other IS NOT NULL"), "node", "other")
     links = found.where("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
     # ids of each component, by way of the smallest id and the number of copies of each distinct vector

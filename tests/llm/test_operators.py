@@ -775,3 +775,16 @@ def test_crowded_cells_are_parted_and_lose_nothing(spark, monkeypatch, cell):
     got = vectors.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>, label int")).toPandas()
     want = duck(EMBEDDINGS, embeddings=pd.DataFrame({"vec_id": range(len(x)), "embedding": list(x), "label": [k % 2 for k in range(len(x))]}))
     same(got, want)
+
+
+def test_vectors_are_shuffled_a_bounded_number_of_times(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4000, 64)).astype(np.float32)
+    x[2000:2500] = x[:500] + r.normal(size=(500, 64)).astype(np.float32) * np.float32(0.1)
+    df = frame(spark, [(k, v.tolist(), int(k % 2)) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = vectors.near_duplicates(df).toPandas()
+    assert len(got) == 4000 and (got["n_links"] > 0).sum() >= 1000
+    assert written() - before < 4 * x.nbytes
+    assert vectors.near_duplicates(df.limit(0)).count() == 0

@@ -24,18 +24,50 @@ def closure(start: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame
     raise RuntimeError("the graph is deeper than allowed")
 
 
-def family_threads(runs: DataFrame, sessions: DataFrame, reference: str) -> DataFrame:
+def parent_links(runs: DataFrame) -> DataFrame:
+    """``node, up``: threads and their parents, where those are known."""
+    links = runs.where("parent_run_id IS NOT NULL").select(F.col("id").alias("node"), F.col("parent_run_id").alias("up")).distinct()
+    return cut(links.join(runs.select(F.col("id").alias("up")), "up", "left_semi").select("node", "up"))
+
+
+def tops(links: DataFrame) -> DataFrame | None:
+    """``node, root`` of all threads below a root, or None where a thread has several parents.
+
+    Every thread points to its parent, then to what that points to, and so on: each round doubles the height, so that
+    rounds grow with the logarithm of the depth.  A round that ends at no further root leaves cycles only; what hangs on
+    them has no root."""
+    if not links.groupBy("node").count().where("count > 1").isEmpty():
+        return None
+    inner = links.select(F.col("node").alias("up"), F.lit(False).alias("top"))
+    at = cut(links.join(inner, "up", "left").select("node", "up", F.coalesce("top", F.lit(True)).alias("top")))
+    left = at.where("NOT top").count()
+    while left:
+        far = at.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("top").alias("ends"))
+        at = cut(at.where("top").unionByName(at.where("NOT top").select("node", "up").join(far, "up").select("node", F.col("far").alias("up"), F.col("ends").alias("top"))))
+        before, left = left, at.where("NOT top").count()
+        if left == before:
+            break
+    return at.where("top").select("node", F.col("up").alias("root"))
+
+
+def family_threads(runs: DataFrame, sessions: DataFrame, reference: str, links: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
     """``id`` of the threads of a family: from any thread or session named (id or prefix, or a session's native id),
-    up the parent links to the root, across sessions, then down every link."""
+    up the parent links to the root, across sessions, then down every link.  ``links`` and ``roots`` are those of
+    ``parent_links`` and ``tops`` where several families of the same threads are asked for."""
     from ..plans.compiler import prefix
 
     named = runs.select("id", "session_id").join(sessions.select(F.col("id").alias("session_id"), "native_id"), "session_id")
     start = named.where(prefix(F.col("id"), reference) | prefix(F.col("session_id"), reference) | F.coalesce(F.col("native_id") == reference, F.lit(False))).select(F.col("id").alias("node"))
-    links = runs.where("parent_run_id IS NOT NULL").select("id", "parent_run_id")
-    known = links.join(runs.select(F.col("id").alias("parent_run_id")), "parent_run_id", "left_semi")
-    above = closure(start, known.select(F.col("id").alias("a"), F.col("parent_run_id").alias("b")))
-    roots = above.join(known.select(F.col("id").alias("node")), "node", "left_anti")
-    return closure(roots, known.select(F.col("parent_run_id").alias("a"), F.col("id").alias("b"))).withColumnRenamed("node", "id")
+    if links is None:
+        links = parent_links(runs)
+        roots = tops(links)
+    if roots is None:
+        above = closure(start, links.select(F.col("node").alias("a"), F.col("up").alias("b")))
+        highest = above.join(links.select("node"), "node", "left_anti")
+        return closure(highest, links.select(F.col("up").alias("a"), F.col("node").alias("b"))).withColumnRenamed("node", "id")
+    start = cut(start.distinct())
+    highest = cut(start.join(links.select("node"), "node", "left_anti").select(F.col("node").alias("root")).unionByName(roots.join(start, "node", "left_semi").select("root")).distinct())
+    return highest.select(F.col("root").alias("id")).unionByName(roots.join(highest, "root", "left_semi").select(F.col("node").alias("id")))
 
 
 def descendants(edges: DataFrame, root: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.shell import commands
 from ..model import Store
-from ..operators.traversal import family_threads
+from ..operators.traversal import family_threads, parent_links, tops
 from .language import FIELDS, YES, And, Not, Or, Query, QueryError, Term, parse, positive, required, terms
 
 GUARDS = {
@@ -186,8 +186,11 @@ class Compiler:
         return self.flags[id(node)] if id(node) in self.flags else leaf(node)
 
     def family(self, runs: DataFrame) -> DataFrame:
-        for value in {t.value for t in terms(self.query.node) if t.field == "family"}:
-            found = family_threads(self.store.runs, self.store.sessions, value).select("id").withColumn(f"family_{abs(hash(value))}", F.lit(True))
+        wanted = {t.value for t in terms(self.query.node) if t.field == "family"}
+        links = parent_links(self.store.runs) if wanted else None
+        roots = tops(links) if wanted else None
+        for value in wanted:
+            found = family_threads(self.store.runs, self.store.sessions, value, links, roots).select("id").withColumn(f"family_{abs(hash(value))}", F.lit(True))
             runs = runs.join(found, "id", "left")
         return runs
 

@@ -172,6 +172,21 @@ def test_tree_paths(spark):
     assert {(r.leaf, r.last, tuple(r.path)) for r in traversal.tree_paths(rows).collect()} == {("b", False, ("a", "b")), ("d", True, ("a", "c", "d"))}
 
 
+def test_families_of_deep_chains_take_few_rounds(spark, monkeypatch):
+    rows = [(str(k), f"s{k}", str(k - 2) if k > 1 else None) for k in range(61)] + [("x", "sx", "y"), ("y", "sy", "x"), ("z", "sz", "y"), ("o", "so", "gone"), ("p", "sp", "o")]
+    runs, rounds = spark.createDataFrame(rows, "id string, session_id string, parent_run_id string").cache(), []
+    sessions = runs.select(F.col("session_id").alias("id"), F.lit(None).cast("string").alias("native_id"))
+    of = lambda reference: sorted(r.id for r in traversal.family_threads(runs, sessions, reference).collect())
+    real = traversal.cut
+    monkeypatch.setattr(traversal, "cut", lambda df: rounds.append(1) or real(df))
+    assert of("59") == sorted(str(k) for k in range(1, 61, 2)) and len(rounds) <= 10
+    assert of("60") == sorted(str(k) for k in range(0, 61, 2))
+    assert of("p") == ["o", "p"] and of("z") == of("x") == []
+    twice = runs.unionByName(spark.createDataFrame([("p", "sp", "60")], runs.schema))
+    assert [r.id for r in traversal.family_threads(twice, sessions, "z").collect()] == []
+    assert len({r.id for r in traversal.family_threads(twice, sessions, "p").collect()}) == 33
+
+
 def test_closure_ends_on_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "a string, b string")
     assert {r.node for r in traversal.closure(spark.createDataFrame([("a",)], "node string"), e).collect()} == {"a", "b", "c"}

@@ -29,23 +29,35 @@ SECRETS = (
 NAME = r"[A-Za-z0-9_.-]*(?:password|passwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)[A-Za-z0-9_.-]*"
 VALUE = r"[^\s\"'`,;}{()\[\]\\]"
 STOP = r"(?=[\s\"'`,;})\]\\]|$)"
-CODE = rf"(?:[A-Za-z_][A-Za-z0-9_.]*|[0-9.]+|[$<%]{VALUE}*|\[REDACTED.*?){STOP}"
-ASSIGNMENT = rf"(?i)\b({NAME})(\"?\s*[:=]\s*[\"']?)(?!{CODE})({VALUE}{{8,}}){STOP}"
+CODE = rf"(?:[A-Za-z_][A-Za-z0-9_.]*|[0-9.]+|[$<%]{VALUE}*)"
+ASSIGNED = rf"({NAME})(\"?[\s]*[:=][\s]*[\"']?)"
+ASSIGNMENT = rf"(?iu)\b{ASSIGNED}({VALUE}{{8,}}){STOP}"
+SECRET = rf"(?iu)^{ASSIGNED}(?!(?-iu:{CODE})$){VALUE}+$"
 HOME = r"(?<![\w.-])(/Users/|/home/)(?!(?:user|Shared)\b)[^/\s\"'\\:]+"
 
+#: What Python counts as word characters and white space, in Java's brackets; a letter of more than 16 bits
+#: makes Java look behind by code points.
+WORD, SPACE = r"\p{L}\p{N}_𝐀", r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+EDGE = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
+
+
+def _java(pattern: str) -> str:
+    """The rules above are Python's; their ``\\s`` and ``\\w`` are all in brackets."""
+    return pattern.replace(r"\b", EDGE).replace(r"\w", WORD).replace(r"\s", SPACE)
+
 
 def rules(literals: Iterable[str] = (), patterns: Iterable[str] = ()) -> list[tuple[str, str, str]]:
     """(kind, Java pattern, replacement) in order."""
-    out = [(k, f"(?s){p}", rf"[REDACTED:{k}]") for k, p in SECRETS]
+    out = [(k, f"(?s){_java(p)}", rf"[REDACTED:{k}]") for k, p in SECRETS]
     out += [("literal", re.escape(x), "[REDACTED:literal]") for x in sorted(set(literals), key=lambda x: (-len(x), x)) if x]
     out += [("pattern", p, "[REDACTED:pattern]") for p in patterns]
-    return [*out, ("assignment", ASSIGNMENT, "$1$2[REDACTED:assignment]"), ("home", HOME, "$1user")]
+    return [*out, ("assignment", _java(ASSIGNMENT), "$1$2[REDACTED:assignment]"), ("home", _java(HOME), "$1user")]
 
 
 #: Texts of which one is in every match of a rule, in lower case; a text without any of them is passed over.
 HINTS = {
     "private-key": ("private key-----",), "aws-key": ("akia", "asia"), "github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), "gitlab-token": ("glpat-",), "anthropic-key": ("sk-ant-",), "openai-key": ("sk-",), "google-key": ("aiza",),
-    "slack-token": ("xox",), "stripe-key": ("k_live_", "k_test_"), "npm-token": ("npm_",), "jwt": ("eyj",), "url-credentials": ("://",), "assignment": ("password", "passwd", "secret", "token", "api", "access", "private", "credential"), "home": ("/users/", "/home/"),
+    "slack-token": ("xox",), "stripe-key": ("k_live_", "k_test_"), "npm-token": ("npm_",), "jwt": ("eyj",), "url-credentials": ("://",), "assignment": ("password", "passwd", "secret", "token", "api", "access", "private", "credential", "ı", "i\u0307", "ſ"), "home": ("/users/", "/home/"),
 }
 
 
@@ -71,8 +83,20 @@ def redacted(text: Column, literals: Iterable[str] = (), patterns: Iterable[str]
     return text
 
 
+def _secret(assignment: Column) -> Column:
+    return F.rlike(assignment, F.lit(_java(SECRET)))
+
+
+def _replaced(kind: str, pattern: str, replacement: str, text: Column) -> Column:
+    """One pass; an assignment whose value is code stays and is passed over as a whole, so that no other begins in it."""
+    if kind != "assignment":
+        return F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+    new = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(_secret(m), F.regexp_replace(m, F.lit(pattern), F.lit(replacement))).otherwise(m))
+    return F.array_join(F.zip_with(F.split(text, pattern), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def _replacing(kind: str, pattern: str, replacement: str):
-    return lambda t: F.when(_hinted(kind, t), F.regexp_replace(t, F.lit(pattern), F.lit(replacement))).otherwise(t)
+    return lambda t: F.when(_hinted(kind, t), _replaced(kind, pattern, replacement, t)).otherwise(t)
 
 
 def redaction_counts(text: Column, literals: Iterable[str] = (), patterns: Iterable[str] = ()) -> Column:
@@ -85,7 +109,8 @@ def redaction_counts(text: Column, literals: Iterable[str] = (), patterns: Itera
 
 def _counting(kind: str, pattern: str, replacement: str):
     def step(s: Column) -> Column:
-        n = F.when(_hinted(kind, s["t"]), F.regexp_count(s["t"], F.lit(pattern))).otherwise(F.lit(0))
+        found = F.regexp_count(s["t"], F.lit(pattern)) if kind != "assignment" else F.size(F.filter(F.regexp_extract_all(s["t"], F.lit(pattern), F.lit(0)), _secret))
+        n = F.when(_hinted(kind, s["t"]), found).otherwise(F.lit(0))
         more = F.array(F.struct(F.lit(kind).alias("k"), n.alias("n")))
         return F.struct(_replacing(kind, pattern, replacement)(s["t"]).alias("t"), F.concat(s["found"], F.filter(more, lambda x: x["n"] > 0)).alias("found"))
 
